@@ -6,6 +6,8 @@ A joined row has the source MARC columns plus the key context: ``_target`` (deri
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,7 @@ def _special_procurement() -> Column:
     )
 
 
+@lru_cache
 def derived_fields() -> dict[str, Column]:
     c = F.col
     target, sfcpf = c("_target"), c("SFCPF")
@@ -100,7 +103,7 @@ def derived_fields() -> dict[str, Column]:
 
 def target_columns() -> list[Column]:
     """All target columns, in target order, for one ``select``."""
-    rules = derived_fields()
+    rules = dict(derived_fields())
     rules.update({f: F.col(f) for f in MARC_PASS})
     rules.update({f: F.lit("") for f in MARC_BLANK})
     return [rules[f].alias(f) for f in MARC_TARGET]

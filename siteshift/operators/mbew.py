@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from siteshift.functions.scalars import case, not_in, to_date, unit_price
 from siteshift.layouts import DAP_PLANTS, MBEW_PASS, MBEW_TARGET, RACK_HIERARCHIES
 
 
+@lru_cache
 def derived_fields(strict_dates: bool = False) -> dict[str, Column]:
     c = F.col
     by_case = (c("_mtart") == "FERT") & (c("_meins") == "CS")
@@ -37,6 +40,6 @@ def derived_fields(strict_dates: bool = False) -> dict[str, Column]:
 
 
 def target_columns(strict_dates: bool = False) -> list[Column]:
-    rules = derived_fields(strict_dates)
+    rules = dict(derived_fields(strict_dates))
     rules.update({f: F.col(f) for f in MBEW_PASS})
     return [rules[f].alias(f) for f in MBEW_TARGET]

@@ -95,12 +95,23 @@ def key_context(sheet: str, rows: DataFrame, tables: Mapping[str, DataFrame | No
     return ctx.select(*KEYS, "_target", *looked_up, ((F.col("_rows") == 1) & (fan_out == 1)).alias("_single"))
 
 
+def attach_context(rows: DataFrame, ctx: DataFrame) -> DataFrame:
+    """Wide rows joined to their narrow context.
+
+    The context is hashed, so the wide side is shuffled but never sorted; per partition the
+    context is a small fraction of the rows it is joined to. The explicit exchange (its key order
+    differs, so it is not optimised away) gives adaptive execution statistics for both sides:
+    an empty context removes the join and all above it, a hot partition is split.
+    """
+    return rows.join(ctx.repartition(*reversed(KEYS)).hint("shuffle_hash"), KEYS)
+
+
 def joined_rows(sheet: str, tables: Mapping[str, DataFrame | None],
                 groups: Sequence[str] | None = None) -> DataFrame:
     """Source rows with their key context: what the field rules are written against."""
     routes = routes_of(groups)
     rows = keyed_rows(tables[sheet], PLANT_COLUMN[sheet], routes)
-    return rows.join(key_context(sheet, rows, tables, routes), KEYS)
+    return attach_context(rows, key_context(sheet, rows, tables, routes))
 
 
 def target_columns(sheet: str) -> list[Column]:
@@ -117,8 +128,8 @@ def transform_table(sheet: str, tables: Mapping[str, DataFrame | None],
     rows = keyed_rows(tables[sheet], PLANT_COLUMN[sheet], routes)
     ctx = key_context(sheet, rows, tables, routes)
     columns = target_columns(sheet)
-    single = rows.join(ctx.filter("_single"), KEYS).select(*columns)
-    repeated = rows.join(ctx.filter("NOT _single"), KEYS).select(*columns).distinct()
+    single = attach_context(rows, ctx.filter("_single")).select(*columns)
+    repeated = attach_context(rows, ctx.filter("NOT _single")).select(*columns).distinct()
     return single.unionByName(repeated)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteshift.functions.scalars import clean_cell, strip_zeros
+from siteshift.functions.scalars import blank_to_null, float_int, strip_zeros
 from siteshift.layouts import ALIASES, LABELS, REQUIRED
 
 ROW_ID = "_row_id"
@@ -63,24 +63,28 @@ def normalize_extract(raw: DataFrame, table: str, required_only: bool = False) -
     kept, missing = resolve_header(raw.columns, table)
     if required_only:
         kept = [(i, name) for i, name in kept if name in REQUIRED[table] or name == ROW_ID]
-    positional = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
+    # two projections: each cell is trimmed once, then tested
+    trimmed = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))]).select(
+        *[(F.col(f"c{i}") if name == ROW_ID else blank_to_null(F.col(f"c{i}"))).alias(name) for i, name in kept]
+    )
 
-    def cell(i: int, name: str):
-        c = F.col(f"c{i}")
+    def cell(name: str):
+        c = F.col(f"`{name}`")
         if name == ROW_ID:
-            return c.alias(name)
-        c = clean_cell(c)
+            return c
+        c = float_int(c)
         return (strip_zeros(c) if name == "MATNR" else c).alias(name)
 
-    return positional.select(
-        *[cell(i, name) for i, name in kept],
+    return trimmed.select(
+        *[cell(name) for _, name in kept],
         *[F.lit(None).cast("string").alias(f) for f in missing],
     )
 
 
 def clean_blank(df: DataFrame) -> DataFrame:
     """Cell cleaning alone, on every column."""
-    return df.select(*[clean_cell(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    trimmed = df.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return trimmed.select(*[float_int(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def trim_header(df: DataFrame) -> DataFrame:

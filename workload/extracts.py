@@ -138,10 +138,17 @@ def raw_extracts(spark: SparkSession, sf_dir: str, every_line: bool = False) ->
     }
 
 
+_PLANS: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def source_tables(spark: SparkSession, sf_dir: str, every_line: bool = False) -> dict[str, DataFrame]:
-    """Normalised source tables, as the transformation reads them."""
-    raw = raw_extracts(spark, sf_dir, every_line)
-    return {t: normalize_extract(df, t, required_only=True) for t, df in raw.items()}
+    """Normalised source tables, as the transformation reads them. The lazy plans (not their
+    data) are kept per session, so building a query does not resolve the extracts again."""
+    slot = (spark.sparkContext.applicationId, id(spark), sf_dir, every_line)
+    if slot not in _PLANS:
+        raw = raw_extracts(spark, sf_dir, every_line)
+        _PLANS[slot] = {t: normalize_extract(df, t, required_only=True) for t, df in raw.items()}
+    return dict(_PLANS[slot])
 
 
 # --------------------------------------------------------------------------- #
