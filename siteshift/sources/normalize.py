@@ -93,3 +93,37 @@ def trim_header(df: DataFrame) -> DataFrame:
 
 def missing_fields(header: Sequence[str], table: str) -> list[str]:
     return resolve_header(header, table)[1]
+
+
+def _renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    return df.toDF(*[names.get(c, c) for c in df.columns])
+
+
+def rename_labels(df: DataFrame, table: str) -> DataFrame:
+    return _renamed(df, by_label(df.columns, LABELS[table], REQUIRED[table]))
+
+
+def rename_aliases(df: DataFrame, table: str) -> DataFrame:
+    return _renamed(df, by_alias(df.columns, ALIASES[table]))
+
+
+def rename_technical_case(df: DataFrame, table: str) -> DataFrame:
+    return _renamed(df, by_case(df.columns, REQUIRED[table]))
+
+
+def dedup_columns(df: DataFrame) -> DataFrame:
+    """First column of every name, by position."""
+    first: dict[str, int] = {}
+    for i, c in enumerate(df.columns):
+        first.setdefault(c, i)
+    positional = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return positional.select(*[F.col(f"c{i}").alias(name) for name, i in first.items()])
+
+
+def add_missing_columns(df: DataFrame, table: str) -> DataFrame:
+    absent = [f for f in REQUIRED[table] if f not in df.columns]
+    return df.select("*", *[F.lit(None).cast("string").alias(f) for f in absent])
+
+
+def strip_key_zeros(df: DataFrame) -> DataFrame:
+    return df.withColumn("MATNR", strip_zeros(F.col("MATNR")))

@@ -184,11 +184,12 @@ def extract_stats(spark: SparkSession, folder: str, families: Mapping[str, str],
 def fetch_families(spark: SparkSession, landing: str, root: str, families: Mapping[str, str],
                    source_type: str, extensions: Sequence[str] = (".csv",), fmt: str = "parquet") -> dict[str, str]:
     """Combine every family of a landing folder and write it; family -> written path."""
-    return {
-        family: sink_combined(union_extracts(spark, select_family(spark, landing, prefix, extensions)),
-                              root, family, source_type, fmt)
-        for family, prefix in families.items()
-    }
+    written = {}
+    for family, prefix in families.items():
+        paths = select_family(spark, landing, prefix, extensions)
+        combined = union_extracts(spark, paths) if paths else empty_table(spark, family)
+        written[family] = sink_combined(combined, root, family, source_type, fmt)
+    return written
 
 
 def load_reference(spark: SparkSession, root: str, folder: str, table: str, required: bool = True) -> DataFrame | None:
