@@ -74,7 +74,9 @@ def report(sheet: str, rules: DataFrame, source: DataFrame,
         F.max("s4_row_count").alias("s4_row_count"),
         F.max("records_validated").alias("records_validated"),
         r.status_of(F.max(r.severity(F.col("status")))).alias("overall_status"),
-        F.array_sort(F.collect_list(F.when(F.col("rule_id").isNotNull(), entry))).alias("rules"),
+        # four rules at most
+        F.array_sort(F.collect_list(F.when(F.col("rule_id").isNotNull(), entry)),
+                     lambda a, b: a["position"] - b["position"]).alias("rules"),
     )
 
 

@@ -203,7 +203,7 @@ def transform_sql(sheet: str, fields: list[str] | None = None, every_line: bool
     return with_sql(context_ctes(every_line), fields_sql(sheet, fields))
 
 
-_FAULT = "CAST(PRODUCT AS BIGINT) % 41"
+_FAULT = "TRY_CAST(PRODUCT AS BIGINT) % 41"
 
 
 def _faults_sql(sheet: str) -> str:

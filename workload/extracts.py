@@ -51,6 +51,28 @@ FROM {part}, (SELECT '1021' AS werks UNION ALL SELECT '1025' AS werks UNION ALL
 WHERE p_partkey % 4 <> 1
 """
 
+# Further rows for the same keys: a second material type, a later EA unit, a second group.
+MORE_MARA = """
+SELECT lpad(CAST(p_partkey AS STRING), 18, '0'), CASE WHEN p_partkey % 2 = 0 THEN 'X' END, 'FERT', 'CS', '00999',
+       lpad(CAST(p_partkey AS STRING), 18, '0') || 'Z'
+FROM {part} WHERE p_partkey % 19 = 1
+"""
+MORE_MARM = """
+SELECT lpad(CAST(p_partkey AS STRING), 18, '0'), 'EA', '99', lpad(CAST(p_partkey AS STRING), 18, '0') || 'Z'
+FROM {part} WHERE p_partkey % 3 = 1
+"""
+MORE_EKGRP = """
+SELECT lpad(CAST(p_partkey AS STRING), 18, '0'), '1021', 'H' || CAST(p_size % 9 AS STRING) FROM {part} WHERE p_partkey % 5 = 1
+"""
+
+
+def reference_sql(repeated: bool) -> dict[str, str]:
+    """SELECTs of the reference tables, with or without repeated keys."""
+    more = {"MARA": MORE_MARA, "MARM": MORE_MARM, "EKGRP": MORE_EKGRP}
+    once = {"MARA": RAW_MARA, "MARM": RAW_MARM, "EKGRP": RAW_EKGRP}
+    return {t: f"{sql} UNION ALL {more[t]}" if repeated else sql for t, sql in once.items()}
+
+
 PLANT_OF_LINE = """
 CASE l_suppkey % 8 WHEN 0 THEN '1021' WHEN 1 THEN '1021' WHEN 2 THEN '1028' WHEN 3 THEN '1030'
      WHEN 4 THEN '1025' WHEN 5 THEN '1000' WHEN 6 THEN '1029' ELSE '1055' END
@@ -126,13 +148,12 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_extracts(spark: SparkSession, sf_dir: str, every_line: bool = False) -> dict[str, DataFrame]:
-    """Raw source extracts. ``every_line`` keeps all line items, so plant keys repeat."""
+    """Raw source extracts. ``every_line`` keeps all line items, so the keys of plant data repeat,
+    and so do keys of the reference tables."""
     part = read(spark, sf_dir, "part")
     picked = lines(spark, sf_dir) if every_line else first_lines(spark, sf_dir)
     return {
-        "MARA": spark.sql(RAW_MARA, part=part),
-        "MARM": spark.sql(RAW_MARM, part=part),
-        "EKGRP": spark.sql(RAW_EKGRP, part=part),
+        **{t: spark.sql(sql, part=part) for t, sql in reference_sql(every_line).items()},
         "MARC": spark.sql(RAW_MARC, lines=picked),
         "MBEW": spark.sql(RAW_MBEW, lines=lines(spark, sf_dir), part=part),
     }
@@ -156,12 +177,16 @@ def source_tables(spark: SparkSession, sf_dir: str, every_line: bool = False) ->
 # --------------------------------------------------------------------------- #
 
 def expected_table(spark: SparkSession, sf_dir: str, sheet: str) -> DataFrame:
-    return transform_table(sheet, source_tables(spark, sf_dir))
+    slot = (spark.sparkContext.applicationId, id(spark), sf_dir, "expected")
+    plans = _PLANS.setdefault(slot, {})
+    if sheet not in plans:
+        plans[sheet] = transform_table(sheet, source_tables(spark, sf_dir))
+    return plans[sheet]
 
 
 def with_faults(expected: DataFrame, sheet: str) -> DataFrame:
     """Actual target derived from the expected one, faults chosen by material number % 41."""
-    fault = F.col("PRODUCT").cast("bigint") % 41
+    fault = F.col("PRODUCT").try_cast("bigint") % 41
     copies = F.when(fault == 1, F.array(F.lit(0), F.lit(0))).when(fault == 6, F.array(F.lit(0), F.lit(1)))
     rows = expected.filter(fault != 0).withColumn(
         "_copy", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
@@ -226,9 +251,7 @@ def ctes(every_line: bool = False) -> list[tuple[str, str]]:
     return [
         ("lines", _LINES),
         ("first_lines", _FIRST_LINES),
-        ("raw_mara", RAW_MARA.format(part="part")),
-        ("raw_marm", RAW_MARM.format(part="part")),
-        ("raw_ekgrp", RAW_EKGRP.format(part="part")),
+        *[(f"raw_{t.lower()}", sql.format(part="part")) for t, sql in reference_sql(every_line).items()],
         ("raw_marc", RAW_MARC.format(lines="lines" if every_line else "first_lines")),
         ("raw_mbew", RAW_MBEW.format(lines="lines", part="part")),
         ("mara", _normalized_sql("MARA", "SELECT * FROM raw_mara", True)),
