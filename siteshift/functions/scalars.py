@@ -20,10 +20,11 @@ WHITESPACE = "".join(
 KEY_SEPARATOR = "␟"
 
 _NUMBER = r"(?i)^[ \t-\r]*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)[ \t-\r]*$"
-_FLOAT_TEXT = (
-    r"(?i)^\s*[+-]?(?:(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:e[+-]?\d(?:_?\d)*)?"
-    r"|inf|infinity|nan)\s*$"
+_FLOAT_DIGITS = (
+    r"(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:e[+-]?\d(?:_?\d)*)?|inf|infinity"
 )
+_FLOAT_VALUE = rf"(?i)^\s*[+-]?(?:{_FLOAT_DIGITS})\s*$"
+_FLOAT_TEXT = rf"(?i)^\s*[+-]?(?:{_FLOAT_DIGITS}|nan)\s*$"
 _PLAIN_DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
@@ -94,10 +95,7 @@ def num(c: Column) -> Column:
 
 def float_value(c: Column) -> Column:
     """Double value in the wider float notation (``1_000``); ``nan`` equals nothing, so NULL."""
-    return F.nullif(
-        F.when(c.rlike(_FLOAT_TEXT), F.replace(strip(c), F.lit("_"), F.lit("")).try_cast("double")),
-        F.lit(float("nan")),
-    )
+    return F.when(c.rlike(_FLOAT_VALUE), F.replace(strip(c), F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def fmt_num(x: Column) -> Column:

@@ -62,41 +62,55 @@ def pair_with_source(expected: DataFrame, source: DataFrame) -> DataFrame:
 # Field changes
 # --------------------------------------------------------------------------- #
 
-def _change(field: str, columns: Sequence[str], gaps: Sequence[Gap]) -> Column:
-    label, detail = RULE_TEXTS.get(field, OTHER_RULE)
-    note = gap_note(field, gaps)
-    return F.struct(
-        F.lit(field).alias("source_field"),
-        _source(field, columns).alias("source_value"),
-        F.lit(detail).alias("rule_applied"),
-        _target(field).alias("target_value"),
-        F.when(note.isNotNull(), "warning").otherwise("pass").alias("validation_status"),
-        F.coalesce(note, F.lit("")).alias("notes"),
-        F.lit(label).alias("rule_label"),
-    )
+def _constant_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def _values(field: str, columns: Sequence[str]) -> Column:
+    return F.struct(F.lit(field).alias("source_field"), _source(field, columns).alias("source_value"),
+                    _target(field).alias("target_value"))
 
 
 def changed_fields(columns: Sequence[str], gaps: Sequence[Gap],
                    fields: Sequence[str] = MARC_TARGET) -> Column:
     """Changed fields of a paired row in target order, then known gaps on unchanged fields."""
-    entries = [
-        F.when(~same(_source(f, columns), _target(f)), _change(f, columns, gaps))
-        for f in MARC_TARGET if f != "PRODUCT" and f in fields
+    compared = F.array(*[_values(f, columns) for f in MARC_TARGET if f != "PRODUCT" and f in fields])
+    changed = F.filter(compared, lambda x: ~same(x["source_value"], x["target_value"]))
+    flagged = [
+        F.when(gap_note(gap[2], [gap]).isNotNull() & same(_source(gap[2], columns), _target(gap[2])),
+               _values(gap[2], columns))
+        for gap in gaps if gap[2] in fields
     ]
-    for gap in gaps:
-        field = gap[2]
-        if field not in fields:
-            continue
-        here = gap_note(field, [gap]).isNotNull() & same(_source(field, columns), _target(field))
-        entries.append(F.when(here, _change(field, columns, gaps)))
-    return F.array_compact(F.array(*entries))
+    return F.concat(changed, F.array_compact(F.array(*flagged))) if flagged else changed
+
+
+def explained(fields: Column, gaps: Sequence[Gap]) -> Column:
+    """Field entries with rule, status and note. The texts are small constant maps."""
+    details = _constant_map({f: RULE_TEXTS[f][1] for f in RULE_TEXTS})
+    labels = _constant_map({f: RULE_TEXTS[f][0] for f in RULE_TEXTS})
+    notes = _constant_map({"\x1f".join(gap[:3]): gap[3] for gap in gaps} or {"": ""})
+
+    def explain_one(x: Column) -> Column:
+        field = x["source_field"]
+        note = F.try_element_at(notes, F.concat_ws("\x1f", F.col("t_PRODUCT"), F.col("t_WERKS"), field))
+        return F.struct(
+            field.alias("source_field"), x["source_value"].alias("source_value"),
+            F.coalesce(F.try_element_at(details, field), F.lit(OTHER_RULE[1])).alias("rule_applied"),
+            x["target_value"].alias("target_value"),
+            F.when(note.isNotNull(), "warning").otherwise("pass").alias("validation_status"),
+            F.coalesce(note, F.lit("")).alias("notes"),
+            F.coalesce(F.try_element_at(labels, field), F.lit(OTHER_RULE[0])).alias("rule_label"),
+        )
+
+    return F.transform(fields, explain_one)
 
 
 def preview_records(paired: DataFrame, gaps: Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
     """One record per expected row with its changed fields nested."""
     fields = F.col("field_transformations")
     flagged = F.exists(fields, lambda f: f["validation_status"] != "pass")
-    return paired.withColumn("field_transformations", changed_fields(paired.columns, gaps)).select(
+    changed = paired.withColumn("_changed", changed_fields(paired.columns, gaps))
+    return changed.withColumn("field_transformations", explained(F.col("_changed"), gaps)).select(
         F.concat_ws("-", "t_PRODUCT", "t_WERKS").alias("record_id"),
         F.col("t_PRODUCT").alias("matnr"), F.col("s_WERKS").alias("ecc_plant"), F.col("t_WERKS").alias("s4_plant"),
         F.when(flagged, "warning").otherwise("success").alias("overall_status"),
@@ -105,8 +119,13 @@ def preview_records(paired: DataFrame, gaps: Sequence[Gap] = KNOWN_GAPS) -> Data
 
 
 def preview_changes(records: DataFrame) -> DataFrame:
-    """One row per changed field."""
-    return records.select("record_id", F.explode("field_transformations").alias("f")).select("record_id", "f.*")
+    """One row per changed field.
+
+    An outer explode: for an inner one the optimizer infers a filter on the array and copies its
+    whole defining expression into it. Records without a change give one NULL entry, dropped here.
+    """
+    entries = records.select("record_id", F.explode_outer("field_transformations").alias("f"))
+    return entries.select("record_id", "f.*").filter(F.col("source_field").isNotNull())
 
 
 def rule_counts(changes: DataFrame) -> DataFrame:

@@ -78,16 +78,23 @@ def _note(field: str) -> str:
     return f"CASE{hits} END" if hits else "CAST(NULL AS VARCHAR)"
 
 
-def _change_sql(pos: int, field: str) -> str:
-    """Changed or flagged rows of one field; flagged unchanged ones come after all changes."""
+def _entry_sql(pos: int, field: str) -> str:
     a, b = _values(field)
     label, detail = RULE_TEXTS.get(field, OTHER_RULE)
-    return f"""SELECT t_PRODUCT || '-' || t_WERKS AS record_id,
-  CASE WHEN {_SAME.format(a=a, b=b)} THEN 1000 + coalesce(gap, 0) ELSE {pos} END AS pos, '{field}' AS source_field,
-  {a} AS source_value, {_quote(detail)} AS rule_applied, {b} AS target_value,
-  CASE WHEN note IS NULL THEN 'pass' ELSE 'warning' END AS validation_status, coalesce(note, '') AS notes, {_quote(label)} AS rule_label
-FROM (SELECT *, {_note(field)} AS note, {_gap_position(field)} AS gap FROM paired) p
-WHERE NOT {_SAME.format(a=a, b=b)} OR note IS NOT NULL"""
+    return (f"{{'pos': {pos}, 'source_field': '{field}', 'source_value': {a}, 'target_value': {b}, 'note': {_note(field)}, "
+            f"'gap': {_gap_position(field)}, 'rule_applied': {_quote(detail)}, 'rule_label': {_quote(label)}}}")
+
+
+def changes_sql() -> str:
+    """Changed or flagged fields of every pair; flagged unchanged ones come after all changes."""
+    entries = ", ".join(_entry_sql(i, f) for i, f in enumerate(f for f in MARC_TARGET if f != "PRODUCT"))
+    same = _SAME.format(a="u.source_value", b="u.target_value")
+    return f"""SELECT record_id, CASE WHEN {same} THEN 1000 + u.gap ELSE u.pos END AS pos, u.source_field AS source_field,
+  u.source_value AS source_value, u.rule_applied AS rule_applied, u.target_value AS target_value,
+  CASE WHEN u.note IS NULL THEN 'pass' ELSE 'warning' END AS validation_status, coalesce(u.note, '') AS notes,
+  u.rule_label AS rule_label
+FROM (SELECT t_PRODUCT || '-' || t_WERKS AS record_id, unnest([{entries}]) AS u FROM paired) e
+WHERE NOT {same} OR u.note IS NOT NULL"""
 
 
 def _gap_position(field: str) -> str:
@@ -105,10 +112,9 @@ _CONV = ("CASE WHEN f.MTART = 'FERT' AND f.MEINS = 'CS' AND f.has_ea THEN coales
 
 
 def blocks() -> list[tuple[str, str]]:
-    fields = [f for f in MARC_TARGET if f != "PRODUCT"]
     return target_ctes("MARC") + [
         ("paired", _PAIRED),
-        ("changes", " UNION ALL ".join(_change_sql(i, f) for i, f in enumerate(fields))),
+        ("changes", changes_sql()),
         ("facts", _FACTS),
         ("unmapped", f"""SELECT s.MATNR, s.WERKS AS ecc_plant, CASE
             WHEN s.WERKS NOT IN ('1021', '1028', '1030', '1025', '1000', '1029')

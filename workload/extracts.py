@@ -262,9 +262,14 @@ def ctes(every_line: bool = False) -> list[tuple[str, str]]:
     ]
 
 
+# Blocks several others read; evaluated once.
+_ONCE = {"marc", "expected", "actual", "paired", "changes", "facts"}
+
+
 def with_sql(blocks: list[tuple[str, str]], final: str) -> str:
     """One statement: the blocks as CTEs, then the final SELECT."""
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in blocks) + "\n" + final
+    named = [f"{name} AS {'MATERIALIZED ' if name in _ONCE else ''}({body})" for name, body in blocks]
+    return "WITH " + ",\n".join(named) + "\n" + final
 
 
 def source_sql(final: str, every_line: bool = False) -> str:
