@@ -18,7 +18,7 @@ from siteshift.functions.scalars import (
     strip_zeros,
 )
 from siteshift.layouts import KNOWN_GAPS, MARC_TARGET, OTHER_RULE, PAIR_FIELDS, ROUTES, RULE_TEXTS
-from siteshift.operators.lookups import ROW_ID, first_per_key, last_per_key
+from siteshift.operators.lookups import ROW_ID, last_per_key
 from siteshift.operators.plants import lookup, target_to_source
 
 Gap = tuple[str, str, str, str]
@@ -27,11 +27,17 @@ SUMMARY_FIELDS = [*PAIR_FIELDS, "LOSGR"]
 
 
 def _target(field: str) -> Column:
-    return blank_to_null(F.col(f"t_{field}"))
+    return blank_to_null(F.col(f"t.{field}"))
 
 
 def _source(field: str, columns: Sequence[str]) -> Column:
-    return blank_to_null(F.col(f"s_{field}")) if f"s_{field}" in columns else F.expr(_NOTHING)
+    if field == "WERKS":
+        return blank_to_null(F.col("s_WERKS"))
+    return blank_to_null(F.col(f"s.{field}")) if field in columns else F.expr(_NOTHING)
+
+
+def source_fields(paired: DataFrame) -> list[str]:
+    return paired.schema["s"].dataType.names
 
 
 def gap_note(field: str, gaps: Sequence[Gap]) -> Column:
@@ -43,19 +49,25 @@ def gap_note(field: str, gaps: Sequence[Gap]) -> Column:
     return note
 
 
-def pair_with_source(expected: DataFrame, source: DataFrame) -> DataFrame:
-    """Every expected row (``t_`` columns) with its first source row (``s_`` columns).
+def pair_with_source(expected: DataFrame, source: DataFrame,
+                     fields: Sequence[str] = MARC_TARGET) -> DataFrame:
+    """Every expected row with its first source row: keys, and the wanted fields as structs ``t`` and ``s``.
 
-    ``source`` is a normalised plant-data extract with an ingest row id.
+    ``source`` is a normalised plant-data extract with an ingest row id. Two structs rather than
+    some 260 renamed columns keep the optimizer's work on the plan small.
     """
-    wanted = [c for c in source.columns if c in MARC_TARGET or c in ("MATNR", "WERKS", "LVORM", ROW_ID)]
-    routed = source.select(*wanted).filter(F.col("WERKS").isin(*[r.source for r in ROUTES]))
-    first = first_per_key(routed, ["MATNR", "WERKS"]).drop(ROW_ID)
+    wanted = [c for c in source.columns if c in fields and c not in ("MATNR", "WERKS")]
+    first = (
+        source.filter(F.col("WERKS").isin(*[r.source for r in ROUTES]))
+        .groupBy(F.col("MATNR").alias("s_MATNR"), F.col("WERKS").alias("s_WERKS"))
+        .agg(F.min_by(F.struct(*wanted) if wanted else F.struct(ROW_ID), ROW_ID).alias("s"))
+    )
     target = expected.select(
         F.col("PRODUCT").alias("s_MATNR"), lookup(F.col("WERKS"), target_to_source()).alias("s_WERKS"),
-        *[F.col(c).alias(f"t_{c}") for c in expected.columns],
+        F.col("PRODUCT").alias("t_PRODUCT"), F.col("WERKS").alias("t_WERKS"),
+        F.struct(*[c for c in expected.columns if c in fields]).alias("t"),
     )
-    return target.join(first.toDF(*[f"s_{c}" for c in first.columns]), ["s_MATNR", "s_WERKS"])
+    return target.join(first, ["s_MATNR", "s_WERKS"])
 
 
 # --------------------------------------------------------------------------- #
@@ -109,7 +121,7 @@ def preview_records(paired: DataFrame, gaps: Sequence[Gap] = KNOWN_GAPS) -> Data
     """One record per expected row with its changed fields nested."""
     fields = F.col("field_transformations")
     flagged = F.exists(fields, lambda f: f["validation_status"] != "pass")
-    changed = paired.withColumn("_changed", changed_fields(paired.columns, gaps))
+    changed = paired.withColumn("_changed", changed_fields(source_fields(paired), gaps))
     return changed.withColumn("field_transformations", explained(F.col("_changed"), gaps)).select(
         F.concat_ws("-", "t_PRODUCT", "t_WERKS").alias("record_id"),
         F.col("t_PRODUCT").alias("matnr"), F.col("s_WERKS").alias("ecc_plant"), F.col("t_WERKS").alias("s4_plant"),
@@ -204,7 +216,7 @@ def summary_text(fields: Column) -> Column:
 def preview_rows(paired: DataFrame, mara: DataFrame, marm: DataFrame,
                  gaps: Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
     """The preview table: one row per expected row with pairs, conversion and summary."""
-    columns = paired.columns
+    columns = source_fields(paired)
     facts = material_facts(mara, marm)
     rows = paired.withColumn("_key", null_safe_key(F.col("t_PRODUCT"))).join(facts, "_key", "left")
     noted = F.coalesce(*[gap_note(f, gaps) for f in PAIR_FIELDS]).isNotNull()

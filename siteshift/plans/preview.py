@@ -41,7 +41,7 @@ def transformation_preview(tables: Mapping[str, DataFrame | None], requested: Da
     changes = explain.preview_changes(records)
     unmapped = explain.preview_unmapped(source, paired, tables["MARA"])
     return Preview(
-        rows=explain.preview_rows(paired, tables["MARA"], tables["MARM"], gaps),
+        rows=explain.preview_rows(explain.pair_with_source(expected, source, explain.SUMMARY_FIELDS), tables["MARA"], tables["MARM"], gaps),
         records=records,
         changes=changes,
         rule_counts=explain.rule_counts(changes),

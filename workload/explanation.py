@@ -29,8 +29,8 @@ def register(name: str, query, oracle: str) -> None:
     ORACLE[name] = oracle
 
 
-def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explain.pair_with_source(expected_table(spark, sf_dir, "MARC"), source_tables(spark, sf_dir)["MARC"])
+def paired(spark: SparkSession, sf_dir: str, fields=MARC_TARGET) -> DataFrame:
+    return explain.pair_with_source(expected_table(spark, sf_dir, "MARC"), source_tables(spark, sf_dir)["MARC"], fields)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = source_tables(spark, sf_dir)
-    return explain.preview_rows(paired(spark, sf_dir), tables["MARA"], tables["MARM"], GAPS)
+    return explain.preview_rows(paired(spark, sf_dir, explain.SUMMARY_FIELDS), tables["MARA"], tables["MARM"], GAPS)
 
 
 def unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def sql(final: str) -> str:
 register("join_expected_source",
          lambda spark, sf: paired(spark, sf).select(
              F.col("t_PRODUCT").alias("PRODUCT"), F.col("t_WERKS").alias("WERKS"), F.col("s_WERKS").alias("source_plant"),
-             F.col("s_BESKZ").alias("source_beskz")),
+             F.col("s.BESKZ").alias("source_beskz")),
          sql("SELECT t_PRODUCT AS PRODUCT, t_WERKS AS WERKS, s_WERKS AS source_plant, s_BESKZ AS source_beskz FROM paired"))
 register("anti_unmapped",
          lambda spark, sf: explain.unproduced_rows(source_tables(spark, sf)["MARC"].select("MATNR", "WERKS"), paired(spark, sf)),
