@@ -7,7 +7,10 @@ from importlib import import_module
 #: Query name -> its module; the function bears the query's name.
 _MODULES = {
     "op2_token_files": "token_files",
+    "op3_ownership_frequency": "secrets",
+    "op4_set_relation_join": "jaccard",
     "op7_minimum_bin_slack": "packing",
+    "op10_language_ppm": "language",
 }
 
 QUERIES = {name: getattr(import_module(f"llm.{module}"), name) for name, module in _MODULES.items()}
