@@ -6,10 +6,15 @@ from importlib import import_module
 
 #: Query name -> its module; the function bears the query's name.
 _MODULES = {
+    "op1_external_index_merge": "warc",
     "op2_token_files": "token_files",
     "op3_ownership_frequency": "secrets",
     "op4_set_relation_join": "jaccard",
+    "op5_metric_range_join": "vectors",
+    "op6_min_cost_flow": "resharding",
     "op7_minimum_bin_slack": "packing",
+    "op8_overlapping_chunks": "byte_bpe",
+    "op9_closed_syncmers": "syncmers",
     "op10_language_ppm": "language",
 }
 
