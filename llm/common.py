@@ -19,6 +19,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches bounded in bytes, so that long texts don't pile up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """df written as a table in the shared folder and read back: the lineage ends there, lost executors lose nothing."""
     spark = df.sparkSession
@@ -61,7 +67,7 @@ def write_file(folder: str, name: str, data: bytes) -> None:
     """Writes one file whole.  Names are new for each attempt, so a repeated task disturbs nothing."""
     system, path = filesystem(folder)
     system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/{name}") as out:
+    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
         out.write(data)
 
 

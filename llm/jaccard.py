@@ -9,7 +9,7 @@ tokens last.  Sets that link share a token of their prefixes, so all links are f
    which is linked already, so lists only compare families.  Within a list each family answers through its
    first member: its distance to another family's first, less the spread of both families, decides for all
    members; only where it doesn't are members' own answers derived from their differences.
- * What is left as candidates is verified on the whole texts.
+ * What is left as candidates is compared by wider parities, then verified on the whole texts.
 Families are components of verified links only, so nothing rests on the hash orders but work saved.
 
 Tokens are 64-bit hashes of word n-grams and sets are told apart by 128 bits of their tokens; the text rows of
@@ -36,8 +36,12 @@ PERCENT = 80
 #: Counters of the frequency sketch, their chunks, and bits of the filter for verification: fixed sizes.
 SKETCH, CHUNKS = 1 << 20, 64
 FILTER_BITS = 1 << 24
-#: Entries of a part of an index list, and of a block by position.
-PART, BLOCK = 4096, 64
+#: Entries of a part of an index list, of a block by position, and of a list compared without blocks.
+PART, BLOCK, SHORT = 4096, 64, 64
+#: Bits of the parities that candidates are compared by before their texts are.
+WIDE_BITS = 2048
+#: Bytes of text hashed at a time.
+SLICE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = tuple(np.uint64(x) for x in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAB5A5A5A5B))
@@ -140,7 +144,7 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches):
         counters = np.zeros(SKETCH, np.int64)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             counters += np.bincount((shingles(batch.column("text"), k)[0] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         parts = np.minimum(counters, 65535).astype("<u2").reshape(CHUNKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counters"])
@@ -164,35 +168,39 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: key (of its text), doc_id, n, the set's 128 bits, three minima, 256 parity bits, prefix tokens."""
+    """Per row: key (of its text), doc_id, n, the set's 128 bits, three minima, its parities in 256 and WIDE_BITS
+    bits, its prefix tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     names = ["key", "doc_id", "n", "set_a", "set_b", "m0", "m1", "m2", "p0", "p1", "p2", "p3"]
 
     def run(batches):
         level = shared.value
-        for batch in common.slices(batches, "text"):
-            numbers, prefixes = np.zeros((10, batch.num_rows), np.uint64), []
+        for batch in common.slices(batches, "text", SLICE):
+            numbers, prefixes, wide = np.zeros((10, batch.num_rows), np.uint64), [], []
             for i, tokens in enumerate(token_sets(batch.column("text"), k)):
                 n = len(tokens)
                 numbers[0, i] = n
                 if not n:
                     prefixes.append(None)
+                    wide.append(None)
                     continue
                 mixed = [mix(tokens ^ seed) for seed in _SEEDS]
                 numbers[1, i], numbers[2, i] = mixed[0].sum(), mix(mixed[1] + _ODD).sum()
                 numbers[3:6, i] = [x.min() for x in mixed]
                 bits = np.bincount((mixed[2] >> np.uint64(56)).astype(np.int64), minlength=256) & 1
                 numbers[6:10, i] = np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
+                bits = np.bincount((mixed[1] % np.uint64(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS) & 1
+                wide.append(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8"))
                 order = np.lexsort((tokens, level[(tokens % np.uint64(SKETCH)).astype(np.int64)]))
                 prefixes.append(tokens[order[: n - -(-percent * n // 100) + 1]].view(np.int64))
             sizes = np.array([0 if p is None else len(p) for p in prefixes])
             flat = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.int64)])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            columns = [batch.column("key"), batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in numbers), lists]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "prefix"])
+            columns = [batch.column("key"), batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in numbers), pa.array(wide, pa.list_(pa.int64())), lists]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "wide", "prefix"])
 
     rows = docs.select(_text_key().alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", prefix array<long>")
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", wide array<long>, prefix array<long>")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -227,31 +235,63 @@ def list_pairs(classes: DataFrame, percent: int) -> DataFrame:
         "cid", "family", "n", F.col("pos").cast("long").alias("pos"), "p0", "p1", "p2", "p3")
     dealt = kept.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
 
+    names = ["token", "x", "y", "own", "cid", "family", "n", "pos", "p0", "p1", "p2", "p3"]
+
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held = {c: np.zeros(0, np.int64) for c in names}
         for batch in batches:
-            keys = [batch.column(x).to_numpy() for x in ("token", "x", "y")]
-            cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in keys], axis=0)) + 1 if batch.num_rows else []
-            bounds = [0, *cuts, batch.num_rows]
-            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                part = batch.slice(a, b - a)
-                if i == 0 and held and all(held[0].column(x)[0] == part.column(x)[0] for x in ("token", "x", "y")):
-                    held.append(part)
-                    continue
-                yield from pairs_of(held)
-                held = [part]
-        yield from pairs_of(held)
-
-    def pairs_of(held):
-        rows = sum(x.num_rows for x in held)
-        if rows > 1:
-            columns = {x: np.concatenate([h.column(x).to_numpy() for h in held]) for x in ("x", "y", "own", "cid", "family", "n", "pos", "p0", "p1", "p2", "p3")}
-            for a, b in compare_list(columns, percent):
+            held = {c: np.concatenate([held[c], batch.column(c).to_numpy()]) for c in names}
+            change = np.flatnonzero((np.diff(held["token"]) != 0) | (np.diff(held["x"]) != 0) | (np.diff(held["y"]) != 0))
+            if len(change):  # the last list may go on
+                yield from pairs_of({c: v[: change[-1] + 1] for c, v in held.items()}, change + 1)
+                held = {c: v[change[-1] + 1 :] for c, v in held.items()}
+        if len(held["token"]):
+            yield from pairs_of(held, np.array([len(held["token"])]))
+
+    def pairs_of(rows, ends):
+        sizes = np.diff(np.concatenate([[0], ends]))
+        short = np.repeat(sizes <= SHORT, sizes)
+        lists = np.repeat(np.arange(len(sizes)), sizes)[short]
+        found = [compare_short({c: v[short] for c, v in rows.items()}, lists, percent)]
+        for end, size in zip(ends[sizes > SHORT], sizes[sizes > SHORT]):
+            found += compare_list({c: v[end - size : end] for c, v in rows.items()}, percent)
+        for a, b in found:
+            if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def compare_short(c: dict[str, np.ndarray], lists: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may link of many short lists at once, each entry with those that follow it in its list."""
+    parity = np.stack([c[f"p{i}"] for i in range(4)], axis=1).view(np.uint64)
+    rest, first, second = c["n"] - c["pos"], [], []
+    for step in range(1, SHORT):
+        same = np.flatnonzero(lists[step:] == lists[:-step]) if step < len(lists) else []
+        if not len(same):
+            break
+        i, j = same, same + step
+        total = c["n"][i] + c["n"][j]
+        least = needed(total, percent)
+        ok = (c["family"][i] != c["family"][j]) & (np.minimum(rest[i], rest[j]) >= least)
+        i, j, most = i[ok], j[ok], (total - 2 * least)[ok]
+        ok = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1) <= most
+        first.append(c["cid"][i[ok]])
+        second.append(c["cid"][j[ok]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(first or [none]), np.concatenate(second or [none])
+
+
+def narrowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide parities still allow a link, a written table."""
+    sides = [classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab"]
+    total = F.col("n_a") + F.col("n_b")
+    apart = F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    away = F.aggregate(apart, F.lit(0), lambda acc, x: acc + x)
+    kept = pairs.join(sides[0], "a").join(sides[1], "b").where(away <= total - 2 * F.ceil(total * percent / F.lit(100 + percent)))
+    return common.staged(kept.select("a", "b"), "pairs")
+
+
 def compare_list(c: dict[str, np.ndarray], percent: int):
     """Yields arrays (a, b) of the pairs of one list, or of two parts of one, that may link."""
     order = np.lexsort((c["pos"], c["family"]))
@@ -285,7 +325,7 @@ def compare_list(c: dict[str, np.ndarray], percent: int):
                     some = p[k : k + max(1, 65536 // len(q))]
                     total = n[some][:, None] + n[q][None]
                     least = needed(total, percent)
-                    ok = np.minimum(n[some] - pos[some], 0)[:, None] + np.minimum((n - pos)[some][:, None], (n - pos)[q][None]) >= least
+                    ok = np.minimum((n - pos)[some][:, None], (n - pos)[q][None]) >= least
                     ok &= np.bitwise_count(parity[some][:, None] ^ parity[q][None]).sum(axis=2).astype(np.int64) <= total - 2 * least
                     if across:
                         ok &= own[some][:, None] != own[q][None]
@@ -339,10 +379,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     classes = common.staged(classes, "classes")
     heads = rows.drop("doc_id", "set_a", "set_b").withColumnRenamed("key", "cid").join(classes.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
     heads = common.staged(heads, "heads")
-    near = verified(docs, common.staged(leader_pairs(heads, percent), "pairs"), k, percent)
+    near = verified(docs, narrowed(common.staged(leader_pairs(heads, percent), "near"), heads, percent), k, percent)
     family = common.components(spark, near, "family").withColumnRenamed("node", "cid")
     heads = common.staged(heads.drop("m0", "m1", "m2").join(family, "cid", "left").withColumn("family", F.coalesce("family", "cid")), "families")
-    far = verified(docs, common.staged(list_pairs(heads, percent), "pairs"), k, percent)
+    far = verified(docs, narrowed(common.staged(list_pairs(heads, percent), "far"), heads, percent), k, percent)
     links = near.unionByName(far)
     group = common.components(spark, links, "grp").withColumnRenamed("node", "cid")
     named = classes.join(group, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from importlib import import_module
 
+from llm import common
+
 #: Query name -> its module; the function bears the query's name.
 _MODULES = {
     "op1_external_index_merge": "warc",
@@ -18,5 +21,15 @@ _MODULES = {
     "op10_language_ppm": "language",
 }
 
-QUERIES = {name: getattr(import_module(f"llm.{module}"), name) for name, module in _MODULES.items()}
+
+def _ready(query):
+    def run(spark, sf_dir):
+        # workers import this package from where it lies
+        spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        return query(common.tuned(spark), sf_dir)
+
+    return run
+
+
+QUERIES = {name: _ready(getattr(import_module(f"llm.{module}"), name)) for name, module in _MODULES.items()}
 ORACLE: dict[str, str] = {}
