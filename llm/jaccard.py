@@ -5,10 +5,11 @@ tokens last.  Sets that link share a token of their prefixes, so all links are f
  * A list is kept in blocks by position.  The positions and sizes of two blocks bound the overlap of all their
    pairs, and block pairs that can't reach it are skipped whole.
  * Answers of a highly similar set are used again.  Equal sets are one class.  Sets that share a minimum of one
-   of three hash orders are first compared with one leader; verified links put them into the leader's family,
-   which is linked already, so lists only compare families.  Within a list each family answers through its
-   first member: its distance to another family's first, less the spread of both families, decides for all
-   members; only where it doesn't are members' own answers derived from their differences.
+   of three hash orders are first compared with one leader, then the sets of each longer list with one of them,
+   another in each list; verified links put them into the leader's family, which is linked already, so lists
+   only compare families.  Within a list each family answers through its first member: its distance to another
+   family's first, less the spread of both families, decides for all members; only where it doesn't are
+   members' own answers derived from their differences.
  * What is left as candidates is compared by wider parities, then verified on the whole texts.
 Families are components of verified links only, so nothing rests on the hash orders but work saved.
 
@@ -38,8 +39,10 @@ SKETCH, CHUNKS = 1 << 20, 64
 FILTER_BITS = 1 << 24
 #: Entries of a part of an index list, of a block by position, and of a list compared without blocks.
 PART, BLOCK, SHORT = 4096, 64, 64
-#: Bits of the parities that candidates are compared by before their texts are.
-WIDE_BITS = 2048
+#: Bits of the parities that candidates are compared by before their texts are; in lists half a bit for each token.
+WIDE_BITS, LEAST_BITS = 2048, 256
+#: Entries of a list from which one of its sets is compared with all others first.
+STAR = 16
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
 
@@ -132,6 +135,47 @@ def needed(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
+def fitting_words(n: int) -> int:
+    """64-bit words of the parities of a set of n tokens in index lists: a power of two times the least."""
+    bits = LEAST_BITS
+    while bits < min(n // 2, WIDE_BITS):
+        bits *= 2
+    return bits // 64
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities in fewer words."""
+    while parity.shape[1] > words:
+        half = parity.shape[1] // 2
+        parity = parity[:, :half] ^ parity[:, half:]
+    return parity
+
+
+class Parities:
+    """Parities of different lengths; two are compared in the shorter one's."""
+
+    def __init__(self, column: list[np.ndarray], sizes: np.ndarray):
+        self.words = sizes
+        self._by_words = {}
+        flat, at = np.concatenate(column) if column else np.zeros(0, np.int64), np.cumsum(sizes) - sizes
+        for words in sorted(set(sizes.tolist()), reverse=True):
+            rows = np.full((len(sizes), words), 0, np.int64)
+            for longer in (x for x in set(sizes.tolist()) if x >= words):
+                own = np.flatnonzero(sizes == longer)
+                rows[own] = folded(flat[at[own][:, None] + np.arange(longer)], words)
+            self._by_words[words] = rows.view(np.uint64)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of pairs of rows: at most the symmetric difference of the sets."""
+        common_words, out = np.minimum(self.words[i], self.words[j]), np.zeros(len(i), np.int64)
+        for words, rows in self._by_words.items():
+            own = np.flatnonzero(common_words == words)
+            for k in range(0, len(own), 65536):
+                some = own[k : k + 65536]
+                out[some] = np.bitwise_count(rows[i[some]] ^ rows[j[some]]).sum(axis=1)
+        return out
+
+
 def _text_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
@@ -168,39 +212,44 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: key (of its text), doc_id, n, the set's 128 bits, three minima, its parities in 256 and WIDE_BITS
-    bits, its prefix tokens."""
+    """Per row: key (of its text), doc_id, n, the set's 128 bits, three minima, its parities in LEAST_BITS bits,
+    in about n / 2 and in WIDE_BITS, its prefix tokens.
+
+    A parity bit tells whether an odd number of tokens has its number; halves of parities add up to shorter ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     names = ["key", "doc_id", "n", "set_a", "set_b", "m0", "m1", "m2", "p0", "p1", "p2", "p3"]
 
     def run(batches):
         level = shared.value
         for batch in common.slices(batches, "text", SLICE):
-            numbers, prefixes, wide = np.zeros((10, batch.num_rows), np.uint64), [], []
+            numbers, prefixes, wide, fit = np.zeros((10, batch.num_rows), np.uint64), [], [], []
             for i, tokens in enumerate(token_sets(batch.column("text"), k)):
                 n = len(tokens)
                 numbers[0, i] = n
                 if not n:
                     prefixes.append(None)
                     wide.append(None)
+                    fit.append(None)
                     continue
                 mixed = [mix(tokens ^ seed) for seed in _SEEDS]
                 numbers[1, i], numbers[2, i] = mixed[0].sum(), mix(mixed[1] + _ODD).sum()
                 numbers[3:6, i] = [x.min() for x in mixed]
-                bits = np.bincount((mixed[2] >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-                numbers[6:10, i] = np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
-                bits = np.bincount((mixed[1] % np.uint64(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS) & 1
-                wide.append(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8"))
+                bits = np.bincount((mixed[2] % np.uint64(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS) & 1
+                parity = np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+                wide.append(parity)
+                fit.append(folded(parity[None], fitting_words(n))[0])
+                numbers[6:10, i] = folded(parity[None], LEAST_BITS // 64)[0].view(np.uint64)
                 order = np.lexsort((tokens, level[(tokens % np.uint64(SKETCH)).astype(np.int64)]))
                 prefixes.append(tokens[order[: n - -(-percent * n // 100) + 1]].view(np.int64))
             sizes = np.array([0 if p is None else len(p) for p in prefixes])
             flat = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.int64)])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            columns = [batch.column("key"), batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in numbers), pa.array(wide, pa.list_(pa.int64())), lists]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "wide", "prefix"])
+            columns = [batch.column("key"), batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in numbers), pa.array(fit, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), lists]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "fit", "wide", "prefix"])
 
     rows = docs.select(_text_key().alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", wide array<long>, prefix array<long>")
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", fit array<long>, wide array<long>, prefix array<long>")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -208,6 +257,11 @@ def _distance(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}p{i}").bitwiseXOR(F.col(f"{b}p{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))))
 
 
+def _may_link(percent: int) -> Column:
+    total = F.col("n") + F.col("l_n")
+    return _distance("", "l_") <= total - 2 * F.ceil(total * percent / F.lit(100 + percent))
+
+
 def leader_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each class and the leader of one of its three minima that may link."""
     minima = classes.select("cid", "n", *(f"p{i}" for i in range(4)), F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(f"m{i}").alias("m")) for i in range(3)))).alias("x"))
@@ -215,71 +269,103 @@ def leader_pairs(classes: DataFrame, percent: int) -> DataFrame:
     leaders = minima.groupBy("which", "m").agg(F.min(F.struct("cid", "n", *(f"p{i}" for i in range(4)))).alias("l"), F.count("*").alias("members"))
     leaders = leaders.where("members > 1").select("which", "m", *(F.col(f"l.{x}").alias(f"l_{x}") for x in ("cid", "n", "p0", "p1", "p2", "p3")))
     joined = minima.join(common.staged(leaders, "leaders"), ["which", "m"]).where("cid <> l_cid")
-    total = F.col("n") + F.col("l_n")
-    may = _distance("", "l_") <= total - 2 * F.ceil(total * percent / F.lit(100 + percent))
-    return joined.where(may).select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b")).distinct()
+    return joined.where(_may_link(percent)).select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b")).distinct()
 
 
-def list_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different families whose prefixes share a token and that may link."""
+def list_entries(classes: DataFrame) -> DataFrame:
+    """cid, token, pos of the index lists that hold more than one family, a written table."""
     entries = classes.select("cid", "family", F.posexplode("prefix").alias("pos", "token"))
+    lists = entries.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high"))
+    lists = common.staged(lists.where("low <> high").select("token"), "lists")
+    return common.staged(entries.join(lists, "token").select("cid", "token", F.col("pos").cast("long").alias("pos")), "entries")
+
+
+def several_families(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """The entries with family, n and size of their list, of lists that still hold more than one family."""
+    entries = entries.join(classes.select("cid", "family", "n", *(f"p{i}" for i in range(4))), "cid")
     lists = entries.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.count("*").alias("size"))
     lists = common.staged(lists.where("low <> high").select("token", "size"), "lists")
-    kept = entries.join(lists, "token").select("cid", "token", "pos", "size")
-    kept = common.staged(kept, "entries").join(classes.select("cid", "family", "n", "p0", "p1", "p2", "p3"), "cid")
+    return common.staged(entries.join(lists, "token"), "entries")
+
+
+def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one set of each longer list, another one in each, with those of other families that may link."""
+    entries = entries.where(F.col("size") >= STAR)
+    parity = [f"p{i}" for i in range(4)]
+    lead = F.min_by(F.struct("cid", "family", "n", *parity), F.xxhash64("token", "cid"))
+    leaders = entries.groupBy("token").agg(lead.alias("l")).select("token", *(F.col(f"l.{x}").alias(f"l_{x}") for x in ("cid", "family", "n", *parity)))
+    joined = entries.join(common.staged(leaders, "leaders"), "token").where("family <> l_family")
+    return joined.where(_may_link(percent)).select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b")).distinct()
+
+
+def list_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different families whose prefixes share a token and that may link."""
+    kept = entries.select("cid", "token", "pos", "size", "family", "n").join(classes.select("cid", "fit"), "cid")
     # a list of more than PART entries is dealt into parts, and every two parts meet in a task of their own
     parts = F.ceil(F.col("size") / PART).cast("int")
     own = F.pmod(F.hash("cid"), parts)
     kept = kept.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     kept = kept.select("token", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"), F.col("own").cast("long").alias("own"),
-        "cid", "family", "n", F.col("pos").cast("long").alias("pos"), "p0", "p1", "p2", "p3")
+        "cid", "family", "n", "pos", "fit")
     dealt = kept.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-
-    names = ["token", "x", "y", "own", "cid", "family", "n", "pos", "p0", "p1", "p2", "p3"]
+    names = ["token", "x", "y", "own", "cid", "family", "n", "pos"]
 
     def run(batches):
-        held = {c: np.zeros(0, np.int64) for c in names}
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held = {c: np.concatenate([held[c], batch.column(c).to_numpy()]) for c in names}
-            change = np.flatnonzero((np.diff(held["token"]) != 0) | (np.diff(held["x"]) != 0) | (np.diff(held["y"]) != 0))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            keys = [np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("token", "x", "y")]
+            change = np.flatnonzero(np.any([np.diff(x) != 0 for x in keys], axis=0))
             if len(change):  # the last list may go on
-                yield from pairs_of({c: v[: change[-1] + 1] for c, v in held.items()}, change + 1)
-                held = {c: v[change[-1] + 1 :] for c, v in held.items()}
-        if len(held["token"]):
-            yield from pairs_of(held, np.array([len(held["token"])]))
-
-    def pairs_of(rows, ends):
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield from pairs_of(table.slice(0, change[-1] + 1), change + 1)
+                held = table.slice(change[-1] + 1).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from pairs_of(table, np.array([len(table)]))
+
+    def pairs_of(table, ends):
+        fit = table.column("fit").combine_chunks()
+        fit = fit.chunk(0) if isinstance(fit, pa.ChunkedArray) else fit
+        rows = {c: table.column(c).to_numpy() for c in names}
+        parities = Parities([fit.flatten().to_numpy()], np.diff(fit.offsets.to_numpy()))
         sizes = np.diff(np.concatenate([[0], ends]))
-        short = np.repeat(sizes <= SHORT, sizes)
-        lists = np.repeat(np.arange(len(sizes)), sizes)[short]
-        found = [compare_short({c: v[short] for c, v in rows.items()}, lists, percent)]
+        short = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
+        found = [compare_short(rows, parities, short, np.repeat(np.arange(len(sizes)), sizes)[short], percent)]
         for end, size in zip(ends[sizes > SHORT], sizes[sizes > SHORT]):
-            found += compare_list({c: v[end - size : end] for c, v in rows.items()}, percent)
-        for a, b in found:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            found += compare_list(rows, parities, np.arange(end - size, end), percent)
+        a, b = (np.concatenate([x[k] for x in found]) for k in range(2))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)  # a pair shares several tokens
+        if both.size:
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def compare_short(c: dict[str, np.ndarray], lists: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked_by_bound(c: dict, parities: Parities, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Of pairs of entries of one list, those whose families differ and whose positions, sizes and parities allow a link."""
+    total = c["n"][i] + c["n"][j]
+    least = needed(total, percent)
+    ok = (c["family"][i] != c["family"][j]) & (np.minimum(c["n"][i] - c["pos"][i], c["n"][j] - c["pos"][j]) >= least)
+    ok &= (c["x"][i] == c["y"][i]) | (c["own"][i] != c["own"][j])
+    kept = np.flatnonzero(ok)
+    return kept[parities.apart(i[kept], j[kept]) <= (total - 2 * least)[kept]]
+
+
+def compare_short(c: dict, parities: Parities, rows: np.ndarray, lists: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that may link of many short lists at once, each entry with those that follow it in its list."""
-    parity = np.stack([c[f"p{i}"] for i in range(4)], axis=1).view(np.uint64)
-    rest, first, second = c["n"] - c["pos"], [], []
-    for step in range(1, SHORT):
-        same = np.flatnonzero(lists[step:] == lists[:-step]) if step < len(lists) else []
-        if not len(same):
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(SHORT, len(lists))):
+        at = np.flatnonzero(lists[step:] == lists[:-step])
+        if not len(at):
             break
-        i, j = same, same + step
-        total = c["n"][i] + c["n"][j]
-        least = needed(total, percent)
-        ok = (c["family"][i] != c["family"][j]) & (np.minimum(rest[i], rest[j]) >= least)
-        i, j, most = i[ok], j[ok], (total - 2 * least)[ok]
-        ok = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1) <= most
-        first.append(c["cid"][i[ok]])
-        second.append(c["cid"][j[ok]])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(first or [none]), np.concatenate(second or [none])
+        i, j = rows[at], rows[at + step]
+        kept = _linked_by_bound(c, parities, i, j, percent)
+        first.append(c["cid"][i[kept]])
+        second.append(c["cid"][j[kept]])
+    return np.concatenate(first), np.concatenate(second)
 
 
 def narrowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -292,17 +378,14 @@ def narrowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return common.staged(kept.select("a", "b"), "pairs")
 
 
-def compare_list(c: dict[str, np.ndarray], percent: int):
-    """Yields arrays (a, b) of the pairs of one list, or of two parts of one, that may link."""
-    order = np.lexsort((c["pos"], c["family"]))
-    c = {k: v[order] for k, v in c.items()}
-    across = c["x"][0] != c["y"][0]
-    parity = np.stack([c[f"p{i}"] for i in range(4)], axis=1).view(np.uint64)
-    n, pos, cid, own = c["n"], c["pos"], c["cid"], c["own"]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(c["family"]) != 0]))
-    members = np.append(first, len(n))
-    leads = np.repeat(np.arange(len(first)), np.diff(members))
-    spread = np.maximum.reduceat(np.bitwise_count(parity ^ parity[first][leads]).sum(axis=1).astype(np.int64), first)
+def compare_list(c: dict, parities: Parities, rows: np.ndarray, percent: int):
+    """Yields arrays (a, b) of the pairs of one long list, or of two parts of one, that may link."""
+    rows = rows[np.lexsort((c["pos"][rows], c["family"][rows]))]
+    n, pos, family = c["n"][rows], c["pos"][rows], c["family"][rows]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(family) != 0]))
+    count = np.diff(np.append(first, len(rows)))
+    leads = np.repeat(np.arange(len(first)), count)
+    spread = np.maximum.reduceat(parities.apart(rows, rows[first][leads]), first)
     low, high, rest = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(n - pos, first)
     # families in blocks by position
     by_pos = np.argsort(np.minimum.reduceat(pos, first), kind="stable")
@@ -311,27 +394,27 @@ def compare_list(c: dict[str, np.ndarray], percent: int):
     for i, x in enumerate(blocks):
         reach = np.minimum(block_rest[i], block_rest[i:]) >= needed(block_low[i] + block_low[i:], percent)
         for j in i + np.flatnonzero(reach):
-            y = blocks[j]
-            total = high[x][:, None] + high[y][None]
-            away = np.bitwise_count(parity[first[x]][:, None] ^ parity[first[y]][None]).sum(axis=2).astype(np.int64)
-            may = away - spread[x][:, None] - spread[y][None] <= total - 2 * needed(total, percent)
-            may &= np.minimum(rest[x][:, None], rest[y][None]) >= needed(low[x][:, None] + low[y][None], percent)
+            u, v = (g.ravel() for g in np.meshgrid(x, blocks[j], indexing="ij"))
             if i == j:
-                may = np.triu(may, 1)
-            for u, v in zip(*np.nonzero(may)):
-                p = np.arange(members[x[u]], members[x[u] + 1])
-                q = np.arange(members[y[v]], members[y[v] + 1])
-                for k in range(0, len(p), max(1, 65536 // len(q))):
-                    some = p[k : k + max(1, 65536 // len(q))]
-                    total = n[some][:, None] + n[q][None]
-                    least = needed(total, percent)
-                    ok = np.minimum((n - pos)[some][:, None], (n - pos)[q][None]) >= least
-                    ok &= np.bitwise_count(parity[some][:, None] ^ parity[q][None]).sum(axis=2).astype(np.int64) <= total - 2 * least
-                    if across:
-                        ok &= own[some][:, None] != own[q][None]
-                    a, b = np.nonzero(ok)
-                    if len(a):
-                        yield cid[some[a]], cid[q[b]]
+                u, v = u[u < v], v[u < v]
+            may = np.minimum(rest[u], rest[v]) >= needed(low[u] + low[v], percent)
+            u, v = u[may], v[may]
+            total = high[u] + high[v]
+            may = parities.apart(rows[first[u]], rows[first[v]]) - spread[u] - spread[v] <= total - 2 * needed(total, percent)
+            u, v = u[may], v[may]
+            # the members of the families that are left
+            made = count[u] * count[v]
+            step = 0
+            while step < len(u):
+                upto = max(step + 1, int(np.searchsorted(np.cumsum(made), made[:step].sum() + 1_000_000)))
+                p, q, m = u[step:upto], v[step:upto], made[step:upto]
+                within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                a = rows[np.repeat(first[p], m) + within // np.repeat(count[q], m)]
+                b = rows[np.repeat(first[q], m) + within % np.repeat(count[q], m)]
+                kept = _linked_by_bound(c, parities, a, b, percent)
+                if len(kept):
+                    yield c["cid"][a[kept]], c["cid"][b[kept]]
+                step = upto
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -367,6 +450,12 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return common.staged(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def with_families(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with family, the component of the links found so far, a written table."""
+    family = common.components(classes.sparkSession, links, "family").withColumnRenamed("node", "cid")
+    return common.staged(classes.join(family, "cid", "left").withColumn("family", F.coalesce("family", "cid")), "families")
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: key (a hash of doc_id and text), doc_id, n_shingles, component_id, first_key.
 
@@ -379,11 +468,14 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     classes = common.staged(classes, "classes")
     heads = rows.drop("doc_id", "set_a", "set_b").withColumnRenamed("key", "cid").join(classes.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
     heads = common.staged(heads, "heads")
-    near = verified(docs, narrowed(common.staged(leader_pairs(heads, percent), "near"), heads, percent), k, percent)
-    family = common.components(spark, near, "family").withColumnRenamed("node", "cid")
-    heads = common.staged(heads.drop("m0", "m1", "m2").join(family, "cid", "left").withColumn("family", F.coalesce("family", "cid")), "families")
-    far = verified(docs, narrowed(common.staged(list_pairs(heads, percent), "far"), heads, percent), k, percent)
-    links = near.unionByName(far)
+    links = verified(docs, narrowed(common.staged(leader_pairs(heads, percent), "near"), heads, percent), k, percent)
+    families = with_families(heads.drop("m0", "m1", "m2"), links)
+    entries = list_entries(families)
+    star = star_pairs(several_families(entries, families), percent)
+    links = links.unionByName(verified(docs, narrowed(common.staged(star, "star"), heads, percent), k, percent))
+    families = with_families(families.drop("family"), links)
+    far = list_pairs(several_families(entries, families), families, percent)
+    links = links.unionByName(verified(docs, narrowed(common.staged(far, "far"), heads, percent), k, percent))
     group = common.components(spark, links, "grp").withColumnRenamed("node", "cid")
     named = classes.join(group, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
     named = common.staged(named, "groups")
