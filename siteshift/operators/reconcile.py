@@ -18,16 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteshift.functions.scalars import is_blank, is_date, is_number, match_key, plant_text, too_long
-from siteshift.mapping import (
-    TYPE_EXCEPTIONS,
-    FieldMapping,
-    key_fields,
-    match_columns,
-    plant_field,
-    resolve_column,
-)
-
-MAX_DETAILS = 20  # detail entries a report shows per rule
+from siteshift.mapping import TYPE_EXCEPTIONS, FieldMapping, Placed, SheetMapping
+
 SEVERITY = {"pass": 0, "warning": 1, "fail": 2}
 NO_DETAILS = "array()"
 
@@ -57,7 +49,7 @@ def _rule(rule_id: str, name: str, status: Column | str, summary: Column | str,
 
     return F.struct(
         F.lit(rule_id).alias("rule_id"), F.lit(name).alias("name"), col(status).alias("status"),
-        col(summary).alias("summary"), F.slice(details, 1, MAX_DETAILS).alias("details"),
+        col(summary).alias("summary"), details.alias("details"),
     )
 
 
@@ -77,14 +69,17 @@ def _type_violated(c: Column, data_type: str | None) -> Column | None:
     return None
 
 
+def _placed(columns: Sequence[str], mapping: Sequence[FieldMapping], sheet: str = "") -> list[Placed]:
+    return SheetMapping(sheet, mapping, actual=columns).placed
+
+
 def quality_counts(sheet: str, columns: Sequence[str], mapping: Sequence[FieldMapping]) -> list[Column]:
     """Conditional counts of every mapped field that has a column."""
     counts = [F.count(F.lit(1)).alias("actual_rows")]
-    for i, field in enumerate(mapping):
-        name = resolve_column(columns, field)
-        if name is None:
+    for i, placed in enumerate(_placed(columns, mapping)):
+        if placed.actual is None:
             continue
-        c = _quoted(name).cast("string")
+        field, c = placed.field, _quoted(placed.actual).cast("string")
         if field.mandatory:
             counts.append(F.count_if(is_blank(c)).alias(f"blank_{i}"))
         if field.data_type == "Text" and field.length:
@@ -106,7 +101,7 @@ def _counted(name: str) -> Column:
 
 
 def field_coverage_rule(columns: Sequence[str], mapping: Sequence[FieldMapping]) -> Column:
-    missing = [f.s4_field for f in mapping if resolve_column(columns, f) is None]
+    missing = SheetMapping("", mapping, actual=columns).missing
     name, n = "Field Coverage", len(mapping)
     if missing:
         return _rule("field_coverage", name, "fail",
@@ -123,11 +118,12 @@ def _issue_rule(rule_id: str, name: str, issues: Column, failed: Callable[[Colum
 
 def mandatory_rule(columns: Sequence[str], mapping: Sequence[FieldMapping]) -> Column:
     issues, mandatory = [], 0
-    for i, field in enumerate(mapping):
+    for i, placed in enumerate(_placed(columns, mapping)):
+        field = placed.field
         if not field.mandatory:
             continue
         mandatory += 1
-        if resolve_column(columns, field) is None:
+        if placed.actual is None:
             issues.append(_entry(field=field.s4_field, issue="column missing (see Field Coverage)"))
             continue
         blanks = _counted(f"blank_{i}")
@@ -139,9 +135,10 @@ def mandatory_rule(columns: Sequence[str], mapping: Sequence[FieldMapping]) -> C
 
 def type_length_rule(sheet: str, columns: Sequence[str], mapping: Sequence[FieldMapping]) -> Column:
     issues, skipped = [], []
-    for i, field in enumerate(mapping):
-        if resolve_column(columns, field) is None:
+    for i, placed in enumerate(_placed(columns, mapping)):
+        if placed.actual is None:
             continue
+        field = placed.field
         if field.data_type == "Text" and field.length:
             n = _counted(f"long_{i}")
             issues.append(F.when(n > 0, _entry(
@@ -167,7 +164,7 @@ def type_length_rule(sheet: str, columns: Sequence[str], mapping: Sequence[Field
 def key_counts(sheet: str, expected: DataFrame, actual: DataFrame, mapping: Sequence[FieldMapping],
                by_plant: bool = False) -> DataFrame:
     """([plant,] key, n_expected, n_actual): rows of every key on both sides."""
-    parts = match_columns(sheet, mapping, expected.columns, actual.columns)
+    parts = SheetMapping(sheet, mapping, expected.columns, actual.columns).key_parts
     if parts is None:
         raise ValueError(f"key fields of {sheet} are not resolvable on both sides")
 
@@ -203,6 +200,15 @@ def key_balance(sheet: str, expected: DataFrame, actual: DataFrame, mapping: Seq
     return counts.groupBy("plant").agg(*balance_sums()) if by_plant else counts.agg(*balance_sums())
 
 
+def plant_row_balance(sheet: str, expected: DataFrame, actual: DataFrame, mapping: Sequence[FieldMapping]) -> DataFrame:
+    """Row counts of both sides per plant, without keys."""
+    def side(df: DataFrame, e: int, a: int) -> DataFrame:
+        return df.select(plant_column(sheet, df, mapping).alias("plant"), F.lit(e).cast("bigint").alias("e"), F.lit(a).cast("bigint").alias("a"))
+
+    both = side(expected, 1, 0).unionByName(side(actual, 0, 1))
+    return both.groupBy("plant").agg(F.sum("e").alias("n_expected"), F.sum("a").alias("n_actual"))
+
+
 def row_balance(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Row counts of both sides as one row, without keys."""
     def side(df: DataFrame, e: int, a: int) -> DataFrame:
@@ -306,9 +312,10 @@ def direct_count_rule() -> Column:
 
 def plant_column(sheet: str, df: DataFrame, mapping: Sequence[FieldMapping]) -> Column:
     """Plant of a target row as trimmed upper-case text; NULL when the column is not there."""
-    field = plant_field(sheet, mapping)
-    name = resolve_column(df.columns, field) if field else None
-    return F.lit(None).cast("string") if name is None else plant_text(_quoted(name).cast("string"))
+    plant = SheetMapping(sheet, mapping, actual=df.columns).plant
+    if plant is None or plant.actual is None:
+        return F.lit(None).cast("string")
+    return plant_text(_quoted(plant.actual).cast("string"))
 
 
 def filter_by_plant(sheet: str, df: DataFrame, plant: str, mapping: Sequence[FieldMapping]) -> DataFrame:
@@ -345,10 +352,3 @@ def rules_passed(rules: DataFrame) -> DataFrame:
         status_of(F.max(severity(F.col("status")))).alias("overall_status"),
     )
 
-
-__all__ = [
-    "balance_sums", "breakdown_columns", "common_key_columns", "count_rule", "direct_count_rule",
-    "field_coverage_rule", "field_quality", "filter_by_plant", "full_count_rule", "key_balance", "key_counts",
-    "key_fields", "list_plants", "mandatory_rule", "plant_column", "row_balance", "rules_passed", "severity",
-    "status_of", "type_length_rule",
-]

@@ -7,7 +7,7 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteshift.mapping import DEFAULT_MAPPING, FieldMapping, key_fields, match_columns
+from siteshift.mapping import DEFAULT_MAPPING, FieldMapping, SheetMapping
 from siteshift.operators import reconcile as r
 
 
@@ -34,7 +34,7 @@ def validate_expected_actual(sheet: str, expected: DataFrame, actual: DataFrame,
                              tolerance_pct: float = 0.0, disabled: Collection[str] = ()) -> DataFrame:
     """One row per rule: expected target (transformed source) against the actual one."""
     mapping = DEFAULT_MAPPING[sheet] if mapping is None else mapping
-    keyed = match_columns(sheet, mapping, expected.columns, actual.columns) is not None
+    keyed = SheetMapping(sheet, mapping, expected.columns, actual.columns).key_parts is not None
     facts = r.key_balance(sheet, expected, actual, mapping) if keyed else r.row_balance(expected, actual)
     counted = _rows(facts, [(4, r.count_rule(scope, tolerance_pct, keyed))],
                     s4_row_count=F.col("n_actual"),
@@ -69,7 +69,7 @@ def report(sheet: str, rules: DataFrame, source: DataFrame,
     rows = rules.select(*columns).unionByName(counted, allowMissingColumns=True)
     return rows.agg(
         F.lit(sheet).alias("sheet"),
-        F.array(*[F.lit(k) for k in key_fields(sheet, mapping)]).alias("key_fields"),
+        F.array(*[F.lit(k) for k in SheetMapping(sheet, mapping).key_labels]).alias("key_fields"),
         F.max("ecc_row_count").alias("ecc_row_count"),
         F.max("s4_row_count").alias("s4_row_count"),
         F.max("records_validated").alias("records_validated"),
@@ -86,12 +86,16 @@ def validate_by_plant(sheet: str, expected: DataFrame, actual: DataFrame,
     """One row per plant with the status of every rule, in one grouped plan for all plants."""
     mapping = DEFAULT_MAPPING[sheet] if mapping is None else mapping
     quality = r.field_quality(sheet, actual, mapping, by=r.plant_column(sheet, actual, mapping))
-    balance = r.key_balance(sheet, expected, actual, mapping, by_plant=True)
+    keyed = SheetMapping(sheet, mapping, expected.columns, actual.columns).key_parts is not None
+    if keyed:
+        balance = r.key_balance(sheet, expected, actual, mapping, by_plant=True)
+    else:  # keys that a side lacks leave plain row counts to compare
+        balance = r.plant_row_balance(sheet, expected, actual, mapping)
     rules = {
         "field_coverage": r.field_coverage_rule(actual.columns, mapping),
         "mandatory_completeness": r.mandatory_rule(actual.columns, mapping),
         "type_length_conformance": r.type_length_rule(sheet, actual.columns, mapping),
-        "record_count": r.count_rule(scope, tolerance_pct),
+        "record_count": r.count_rule(scope, tolerance_pct, keyed),
     }
     statuses = {name: rule["status"] for name, rule in rules.items()}
     worst = F.greatest(*[r.severity(s) for s in statuses.values()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteshift.mapping import DEFAULT_MAPPING, FieldMapping
+from siteshift.mapping import DEFAULT_MAPPING, SheetMapping, field
 from siteshift.operators import reconcile as r
 from siteshift.plans import validate as v
 from workload.expected_sql import target_ctes
@@ -15,7 +15,7 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 # Mapping with fields the target does not have, so coverage fails.
-INCOMPLETE = {sheet: [*fields, FieldMapping("No Such Field", "NOSUCH", "Text", 5, mandatory=True)]
+INCOMPLETE = {sheet: [*fields, field("No Such Field", "NOSUCH", "Text", 5, mandatory=True)]
               for sheet, fields in DEFAULT_MAPPING.items()}
 
 
@@ -355,3 +355,49 @@ def _by_plant_sql(sheet: str) -> str:
 
 register("validate_by_plant", _by_plant("MARC"), _by_plant_sql("MARC"))
 register("validate_by_plant_mbew", _by_plant("MBEW"), _by_plant_sql("MBEW"))
+
+
+# --------------------------------------------------------------------------- #
+# Fields placed on columns, long detail lists, keys that do not resolve
+# --------------------------------------------------------------------------- #
+_MANY = [*DEFAULT_MAPPING["MARC"], *(field(f"No Such Field {i}", f"NOSUCH{i}", "Text", 5) for i in range(30))]
+
+
+def _labelled(df: DataFrame, sheet: str) -> DataFrame:
+    """The table with its key columns under their labels, in another case and padded."""
+    labels = {f.source_field: f" {f.s4_field.upper()} " for f in DEFAULT_MAPPING[sheet][:2]}
+    return df.select(*[F.col(c).alias(labels.get(c, c)) for c in df.columns])
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled cells of every mapped field, each found by label or technical name."""
+    actual = _labelled(actual_table(spark, sf_dir, "MBEW"), "MBEW")
+    placed = SheetMapping("MBEW", INCOMPLETE["MBEW"], actual=actual.columns).placed
+    counts = F.array(*[F.struct(F.lit(p.field.s4_field).alias("field"), F.lit(p.actual is not None).alias("found"),
+                                (F.count(f"`{p.actual}`") if p.actual else F.lit(0).cast("bigint")).alias("filled")) for p in placed])
+    return actual.agg(counts.alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+register("mapped_columns", _filled, with_sql(target_ctes("MBEW"), " UNION ALL ".join(
+    [f"SELECT '{f.s4_field}' AS field, true AS found, count({f.source_field}) AS filled FROM actual" for f in DEFAULT_MAPPING["MBEW"]]
+    + ["SELECT 'No Such Field', false, 0"])))
+register("match_columns",
+         lambda spark, sf: r.key_counts("MBEW", _labelled(expected_table(spark, sf, "MBEW"), "MBEW"), actual_table(spark, sf, "MBEW"),
+                                        DEFAULT_MAPPING["MBEW"]),
+         with_sql(target_ctes("MBEW"), f"""SELECT key, CAST(sum(e) AS BIGINT) AS n_expected, CAST(sum(a) AS BIGINT) AS n_actual FROM (
+             SELECT {_KEY['MBEW']} AS key, 1 AS e, 0 AS a FROM expected UNION ALL SELECT {_KEY['MBEW']}, 0, 1 FROM actual) x GROUP BY key"""))
+register("rule_many_details",
+         lambda spark, sf: rule_over(r.field_quality("MARC", actual_table(spark, sf, "MARC"), _MANY),
+                                     r.field_coverage_rule(actual_table(spark, sf, "MARC").columns, _MANY)),
+         with_sql(target_ctes("MARC"), f"""SELECT 'field_coverage' AS rule_id, 'Field Coverage' AS name, 'fail' AS status,
+             '30 of {len(_MANY)} mapped field(s) missing from the S/4 file.' AS summary,
+             '{" | ".join(f"missing_field=No Such Field {i}" for i in range(30))}' AS details FROM (SELECT count(*) FROM actual) c"""))
+register("validate_by_plant_unkeyed",
+         lambda spark, sf: v.validate_by_plant("MARC", expected_table(spark, sf, "MARC"), actual_table(spark, sf, "MARC").drop("PRODUCT"))
+         .select("plant", "expected_rows", "actual_rows", "overall_status", F.col("rules")["record_count"].alias("record_count")),
+         with_sql(target_ctes("MARC"), f"""SELECT coalesce(e.plant, a.plant) AS plant, coalesce(e.n, 0) AS expected_rows,
+             coalesce(a.n, 0) AS actual_rows, 'fail' AS overall_status,
+             CASE WHEN coalesce(e.n, 0) = coalesce(a.n, 0) THEN 'pass' ELSE 'fail' END AS record_count
+           FROM (SELECT {_PLANT['MARC']} AS plant, count(*) AS n FROM expected GROUP BY 1) e
+           FULL JOIN (SELECT {_PLANT['MARC']} AS plant, count(*) AS n FROM actual GROUP BY 1) a ON e.plant = a.plant
+           WHERE coalesce(e.plant, a.plant) <> ''"""))
