@@ -139,17 +139,44 @@ def to_date(c: Column, month_first: bool = False, strict: bool = False) -> Colum
     return mdy if strict else F.coalesce(mdy, parse_date(c))
 
 
+#: Digits of an operand, brought to a common scale, that exact prices are worked out with.
+PRICE_DIGITS = 36
+
+
+def _decimal_parts(c: Column) -> tuple[Column, Column, Column]:
+    """(negative, digits without leading zeros, scale) of a decimal text; all NULL for other text."""
+    plain = F.replace(strip(c), F.lit("_"), F.lit(""))
+    t = F.when(plain.rlike(_PLAIN_DECIMAL), F.lower(plain))
+    mantissa = F.regexp_extract(t, r"^[+-]?([^e]*)", 1)
+    exponent = F.coalesce(F.nullif(F.regexp_extract(t, r"e(.*)$", 1), F.lit("")), F.lit("0")).try_cast("int")
+    fraction = F.regexp_extract(mantissa, r"\.(.*)$", 1)
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", "")
+    return t.startswith("-"), digits, F.length(fraction) - exponent
+
+
 def unit_price(price: Column, units: Column) -> Column:
-    """Exact price / units, HALF_UP at two decimals, as text. Zero, NULL or invalid is NULL.
+    """Exact price / units, HALF_UP at two decimals, as text. Zero units, NULL or invalid is NULL.
 
-    decimal(20,6) on both sides gives an 18-decimal quotient, so rounding it again to two
-    places cannot disagree with rounding the exact quotient. The bounds are those of the
-    source fields (currency 11,2 and a five-digit counter) with room to spare.
+    Both texts become integers of one scale, so no operand is ever rounded; the sign is the quotient's, also
+    of a price that rounds to zero. A quotient that needs more than PRICE_DIGITS digits fails loudly.
     """
-    def exact(c):
-        return F.when(strip(c).rlike(_PLAIN_DECIMAL), strip(c).try_cast("decimal(20,6)"))
-
-    return F.round(F.try_divide(exact(price), exact(units)), 2).cast("decimal(38,2)").cast("string")
+    minus_p, p, scale_p = _decimal_parts(price)
+    minus_u, u, scale_u = _decimal_parts(units)
+    shift = scale_u - scale_p + 2
+    n = F.concat(p, F.repeat(F.lit("0"), F.least(F.greatest(shift, F.lit(0)), F.lit(400))))
+    d = F.concat(u, F.repeat(F.lit("0"), F.least(F.greatest(-shift, F.lit(0)), F.lit(400))))
+    n2, d1 = (F.when(F.length(x) <= PRICE_DIGITS, x).try_cast("decimal(38,0)") for x in (n, d))
+    n2, d2 = n2 * F.lit(2) + d1, d1 * F.lit(2)
+    whole = ((n2 - n2 % d2) / d2).cast("decimal(38,0)").cast("string")
+    cents = (
+        F.when((F.length(p) == 0) | (F.length(d) > F.length(n) + 1), "0")
+        .when((F.length(n) <= PRICE_DIGITS) & (F.length(d) <= PRICE_DIGITS), whole)
+        .otherwise(F.raise_error(F.concat(F.lit("price out of range: "), price, F.lit(" / "), units)))
+    )
+    padded = F.when(F.length(cents) < 3, F.lpad(cents, 3, "0")).otherwise(cents)
+    sign = F.when(minus_p != minus_u, "-").otherwise("")
+    text = F.concat(sign, F.regexp_replace(padded, r"(\d\d)$", ".$1"))
+    return F.when(p.isNotNull() & (F.length(u) > 0), text)
 
 
 def same(a: Column, b: Column) -> Column:

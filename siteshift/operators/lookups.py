@@ -1,7 +1,7 @@
 """Reference-table lookups: joins and per-key picks around the material master.
 
-Nothing here sorts or collects a whole key group: picks are min/max aggregates with
-map-side partials, and copies of a reference row collapse before they are joined.
+Nothing here collects a whole key group: picks are min/max aggregates with map-side partials (whose text
+values make Spark sort the rows of a task), and copies of a reference row collapse before they are joined.
 """
 
 from __future__ import annotations
@@ -30,12 +30,16 @@ def last_per_key(df: DataFrame, key: str, values: Sequence[str], order: str | Co
 
 
 def ea_denominators(marm: DataFrame) -> DataFrame:
-    """(_key, _umren): denominator of the first EA row of each material."""
-    order = F.col(ROW_ID) if ROW_ID in marm.columns else F.col("UMREN")
+    """(_key, _umren): denominator of the first EA row of each material, in ingest order.
+
+    Without a row id there is no first row, and the table is refused.
+    """
+    if ROW_ID not in marm.columns:
+        raise ValueError(f"the units table needs a row id ({ROW_ID}) to tell its first rows")
     return (
         marm.filter(F.col("MEINH") == "EA")
         .groupBy(null_safe_key(F.col("MATNR")).alias("_key"))
-        .agg(F.min_by("UMREN", order).alias("_umren"))
+        .agg(F.min_by("UMREN", ROW_ID).alias("_umren"))
     )
 
 

@@ -34,7 +34,9 @@ def test_scalar(spark, function, expected):
 
 def test_unit_price(spark):
     pairs = {("10.05", "2"): "5.03", ("10", "0"): None, ("10", None): None, ("x", "2"): None, ("-10.05", "2"): "-5.03",
-             ("1e2", "3"): "33.33", ("0.005", "1"): "0.01"}
+             ("1e2", "3"): "33.33", ("0.005", "1"): "0.01", ("1.0049999", "1"): "1.00", ("123456789012345.005", "1"): "123456789012345.01",
+             ("1_000", "2"): "500.00", ("-0.001", "1"): "-0.00", ("-1", "-3"): "0.33", ("1e-40", "3"): "0.00", ("5", "0.000"): None,
+             (" 7 ", "1e-2"): "700.00", (None, "1"): None, ("", "1"): None, ("1,5", "1"): None, ("0.0250", "-5"): "-0.01"}
     assert values(spark, s.unit_price(F.col("a"), F.col("b")), list(pairs)) == list(pairs.values())
 
 

@@ -54,7 +54,7 @@ def _iso(layouts: str) -> str:
 
 _PRICE = """CASE WHEN u IS NULL OR u = '0' OR trim(t) = '' OR TRY_CAST(trim(t) AS DECIMAL(20, 6)) IS NULL THEN NULL
   WHEN t LIKE '%,%' THEN NULL ELSE
-  CASE WHEN TRY_CAST(trim(t) AS DECIMAL(20, 6)) < 0 THEN '-' ELSE '' END ||
+  CASE WHEN trim(t) LIKE '-%' THEN '-' ELSE '' END ||
   CAST(((2 * abs(CAST(TRY_CAST(trim(t) AS DECIMAL(20, 6)) * 1000 AS BIGINT)) + 10 * CAST(u AS BIGINT))
         // (20 * CAST(u AS BIGINT))) // 100 AS VARCHAR) || '.' ||
   lpad(CAST(((2 * abs(CAST(TRY_CAST(trim(t) AS DECIMAL(20, 6)) * 1000 AS BIGINT)) + 10 * CAST(u AS BIGINT))
@@ -100,3 +100,27 @@ QUERIES = {name: _over(TEXTS, spark_side) for name, (spark_side, _) in _TEXT_CAS
 QUERIES |= {name: _over(DATES, spark_side) for name, (spark_side, _) in _DATE_CASES.items()}
 ORACLE = {name: _oracle(TEXTS, sql) for name, (_, sql) in _TEXT_CASES.items()}
 ORACLE |= {name: _oracle(DATES, sql) for name, (_, sql) in _DATE_CASES.items()}
+
+# Prices of 19 digits and more, nine of them decimals, over counts with three decimals; exact halves among them.
+_WIDE = """
+SELECT l_orderkey, l_linenumber, l_suppkey,
+  CASE WHEN l_linenumber = 1 THEN '-' ELSE '' END || CAST(l_orderkey AS STRING) || '1234567890123.'
+    || lpad(CAST(l_partkey % 1000 AS STRING), 4, '0') || '99500' AS t,
+  CASE WHEN l_suppkey % 11 = 0 THEN '0.000' WHEN l_suppkey % 11 = 1 THEN '1'
+    ELSE CAST(l_suppkey % 11 AS STRING) || '.' || lpad(CAST(l_partkey % 1000 AS STRING), 3, '0') END AS u
+FROM {lineitem}
+"""
+
+
+def _wide_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_WIDE, lineitem=read(spark, sf_dir, "lineitem"))
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", s.unit_price(F.col("t"), F.col("u")).alias("result"))
+
+
+QUERIES["fn_unit_price_wide"] = _wide_prices
+ORACLE["fn_unit_price_wide"] = f"""WITH texts AS ({_WIDE.format(lineitem='lineitem')}),
+  whole AS (SELECT *, CAST(replace(replace(t, '.', ''), '-', '') AS HUGEINT) * 100 AS p,
+              CAST(CASE WHEN u = '1' THEN '1000' ELSE replace(u, '.', '') END AS HUGEINT) * 1000000 AS d FROM texts),
+  cents AS (SELECT *, CASE WHEN d > 0 THEN CAST((2 * p + d) // (2 * d) AS VARCHAR) END AS c FROM whole)
+SELECT l_orderkey, l_linenumber, l_suppkey,
+  CASE WHEN t LIKE '-%' THEN '-' ELSE '' END || left(c, length(c) - 2) || '.' || right(c, 2) AS result FROM cents"""

@@ -245,7 +245,7 @@ register("last_per_key",
              WHERE k = 1"""))
 register("distinct_lookup",
          lambda spark, sf: (lambda g: lookups.purchasing_groups(g.unionByName(g)).select(
-             F.substring("_key", 2, 40).alias("MATNR"), F.col("_source").alias("WERKS"), F.col("_ekgrp").alias("EKGRP")))(
+             F.expr("substring(_key, 2)").alias("MATNR"), F.col("_source").alias("WERKS"), F.col("_ekgrp").alias("EKGRP")))(
              source_tables(spark, sf)["EKGRP"]),
          source_sql("SELECT DISTINCT MATNR, WERKS, EKGRP FROM (SELECT * FROM ekgrp UNION ALL SELECT * FROM ekgrp) e"))
 register("limit_head",
