@@ -6,7 +6,7 @@ columns are free text and ANSI mode would otherwise fail a whole job on one cell
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,42 +141,68 @@ def to_date(c: Column, month_first: bool = False, strict: bool = False) -> Colum
 
 #: Digits of an operand, brought to a common scale, that exact prices are worked out with.
 PRICE_DIGITS = 36
+#: Unsigned texts that fit decimal(20,6) as they are.
+_SHORT_DECIMAL = r"^\d{1,14}(\.\d{0,6})?$"
 
 
-def _decimal_parts(c: Column) -> tuple[Column, Column, Column]:
-    """(negative, digits without leading zeros, scale) of a decimal text; all NULL for other text."""
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value worked out once: a lambda over one element gives it a name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _decimal_parts(c: Column) -> Column:
+    """(minus, digits without leading zeros, scale) of a decimal text; NULL members for other text."""
     plain = F.replace(strip(c), F.lit("_"), F.lit(""))
-    t = F.when(plain.rlike(_PLAIN_DECIMAL), F.lower(plain))
-    mantissa = F.regexp_extract(t, r"^[+-]?([^e]*)", 1)
-    exponent = F.coalesce(F.nullif(F.regexp_extract(t, r"e(.*)$", 1), F.lit("")), F.lit("0")).try_cast("int")
-    fraction = F.regexp_extract(mantissa, r"\.(.*)$", 1)
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", "")
-    return t.startswith("-"), digits, F.length(fraction) - exponent
+
+    def split(t: Column) -> Column:
+        mantissa = F.regexp_extract(t, r"^[+-]?([^eE]*)", 1)
+        exponent = F.coalesce(F.nullif(F.regexp_extract(t, r"[eE](.*)$", 1), F.lit("")), F.lit("0")).try_cast("int")
+        fraction = F.length(F.regexp_extract(mantissa, r"\.(.*)$", 1))
+        digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", "")
+        return F.struct(t.startswith("-").alias("minus"), digits.alias("digits"), (fraction - exponent).alias("scale"))
+
+    return _bound(F.when(plain.rlike(_PLAIN_DECIMAL), plain), split)
+
+
+def _exact_quotient(price: Column, units: Column) -> Column:
+    def padded(x: Column, zeros: Column) -> Column:
+        return F.concat(x["digits"], F.repeat(F.lit("0"), F.least(F.greatest(zeros, F.lit(0)), F.lit(400))))
+
+    def scaled(x: Column) -> Column:
+        shift = x["u"]["scale"] - x["p"]["scale"] + 2
+        return F.struct(
+            padded(x["p"], shift).alias("n"), padded(x["u"], -shift).alias("d"),
+            (F.length(x["p"]["digits"]) == 0).alias("zero"), (F.length(x["u"]["digits"]) > 0).alias("divides"),
+            F.when(x["p"]["minus"] != x["u"]["minus"], "-").otherwise("").alias("sign"))
+
+    def whole(x: Column) -> Column:
+        n, d = (x[c].try_cast("decimal(38,0)") for c in ("n", "d"))
+        return _bound(F.struct((n * F.lit(2) + d).alias("n"), (d * F.lit(2)).alias("d")),
+                      lambda y: ((y["n"] - y["n"] % y["d"]) / y["d"]).cast("decimal(38,0)").cast("string"))
+
+    def text(x: Column) -> Column:
+        n, d = F.length(x["n"]), F.length(x["d"])
+        cents = (
+            F.when(x["zero"] | (d > n + 1), "0")
+            .when((n <= PRICE_DIGITS) & (d <= PRICE_DIGITS), whole(x))
+            .otherwise(F.raise_error(F.concat(F.lit("price out of range: "), price, F.lit(" / "), units)))
+        )
+        shown = _bound(cents, lambda q: F.regexp_replace(F.when(F.length(q) < 3, F.lpad(q, 3, "0")).otherwise(q), r"(\d\d)$", ".$1"))
+        return F.when(x["n"].isNotNull() & x["divides"], F.concat(x["sign"], shown))
+
+    return _bound(_bound(F.struct(_decimal_parts(price).alias("p"), _decimal_parts(units).alias("u")), scaled), text)
 
 
 def unit_price(price: Column, units: Column) -> Column:
     """Exact price / units, HALF_UP at two decimals, as text. Zero units, NULL or invalid is NULL.
 
-    Both texts become integers of one scale, so no operand is ever rounded; the sign is the quotient's, also
-    of a price that rounds to zero. A quotient that needs more than PRICE_DIGITS digits fails loudly.
+    Short unsigned texts are decimals that lose nothing, and their 18-decimal quotient rounds as the exact one
+    does. All others become integers of one scale, so no operand is ever rounded; the sign is the quotient's,
+    also of a price that rounds to zero. A quotient that needs more than PRICE_DIGITS digits fails loudly.
     """
-    minus_p, p, scale_p = _decimal_parts(price)
-    minus_u, u, scale_u = _decimal_parts(units)
-    shift = scale_u - scale_p + 2
-    n = F.concat(p, F.repeat(F.lit("0"), F.least(F.greatest(shift, F.lit(0)), F.lit(400))))
-    d = F.concat(u, F.repeat(F.lit("0"), F.least(F.greatest(-shift, F.lit(0)), F.lit(400))))
-    n2, d1 = (F.when(F.length(x) <= PRICE_DIGITS, x).try_cast("decimal(38,0)") for x in (n, d))
-    n2, d2 = n2 * F.lit(2) + d1, d1 * F.lit(2)
-    whole = ((n2 - n2 % d2) / d2).cast("decimal(38,0)").cast("string")
-    cents = (
-        F.when((F.length(p) == 0) | (F.length(d) > F.length(n) + 1), "0")
-        .when((F.length(n) <= PRICE_DIGITS) & (F.length(d) <= PRICE_DIGITS), whole)
-        .otherwise(F.raise_error(F.concat(F.lit("price out of range: "), price, F.lit(" / "), units)))
-    )
-    padded = F.when(F.length(cents) < 3, F.lpad(cents, 3, "0")).otherwise(cents)
-    sign = F.when(minus_p != minus_u, "-").otherwise("")
-    text = F.concat(sign, F.regexp_replace(padded, r"(\d\d)$", ".$1"))
-    return F.when(p.isNotNull() & (F.length(u) > 0), text)
+    p, u = strip(price), strip(units)
+    short = F.round(F.try_divide(p.try_cast("decimal(20,6)"), u.try_cast("decimal(20,6)")), 2).cast("decimal(38,2)").cast("string")
+    return F.when(p.rlike(_SHORT_DECIMAL) & u.rlike(_SHORT_DECIMAL), short).otherwise(_exact_quotient(price, units))
 
 
 def same(a: Column, b: Column) -> Column:
