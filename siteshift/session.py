@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,10 +27,15 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where none is configured (a local run) a temporary folder is chosen, once per session.
+    A cluster without one is refused. A local run without one gets a folder of its own below the
+    warehouse, which goes when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="siteshift-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+        configured = f"{warehouse.rstrip('/')}/siteshift-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", configured)
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     return configured.rstrip("/")

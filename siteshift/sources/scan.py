@@ -1,14 +1,14 @@
 """Landing-folder sources and sinks: all-text scans of extract files.
 
 An *extract* is one entry of a landing folder: a file, or a folder of part files that share a
-header. Headers are read per extract (first line only); data is read by Spark with an explicit
+header. Headers are read per extract (first record only); data is read by Spark with an explicit
 all-text schema, once per distinct header.
 """
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,11 +81,11 @@ def dedup_header(header: Iterable[str]) -> list[str]:
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV extract, repeated names resolved."""
-    first = spark.read.text(path).first()
-    if first is None:
-        return []
-    return dedup_header(next(csv.reader([first[0].lstrip("﻿")])))
+    """Column names of a CSV extract, repeated names resolved; a name may hold a quoted line break."""
+    lines = spark.read.csv(path, escape='"', multiLine=True, emptyValue="")
+    cells = lines.select(*[c for c in lines.columns if c.startswith("_c")])  # not the names of folders
+    first = cells.first() if cells.columns else None
+    return [] if first is None else dedup_header([(c or "").lstrip("\ufeff") for c in first])
 
 
 def na_to_null(c: Column) -> Column:
@@ -100,38 +100,50 @@ def ingest_row_id() -> Column:
     ).alias(ROW_ID)
 
 
+_RECORD = "_record"  # text of a record whose cells are not as many as the header's
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str], header: Sequence[str], row_id: bool = False,
-             multi_line: bool = False) -> DataFrame:
-    """CSV extracts of one header as nullable text columns, missing-value texts as NULL."""
-    positional = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    raw = spark.read.schema(positional).csv(
-        list(paths), header=True, enforceSchema=True, escape='"', multiLine=multi_line, emptyValue="")
+             multi_line: bool = True) -> DataFrame:
+    """CSV extracts of one header as nullable text columns, missing-value texts as NULL.
+
+    A line with fewer cells ends in NULLs; one with more fails the read, as nothing tells what the rest means.
+    Cells may hold line breaks. ``multi_line=False`` promises that none does and lets Spark split large files.
+    """
+    width = len(header)
+    positional = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(_RECORD, T.StringType())])
+    raw = spark.read.schema(positional).option("columnPruning", False).csv(
+        list(paths), header=True, enforceSchema=True, escape='"', multiLine=multi_line, emptyValue="", columnNameOfCorruptRecord=_RECORD)
+    bare = F.regexp_replace(_RECORD, '"(?:[^"]|"")*+"', "")
+    longer = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= width
+    more = F.raise_error(F.concat(F.lit(f"a line has more than {width} cells: "), _RECORD, F.coalesce("c0", F.lit("")))).cast("boolean")
+    whole = raw.filter(F.when(F.col(_RECORD).isNull(), True).when(longer, more).otherwise(True))
     cells = [na_to_null(F.col(f"c{i}")).alias(name) for i, name in enumerate(header)]
-    return raw.select(*cells, *([ingest_row_id()] if row_id else []))
+    return whole.select(*cells, *([ingest_row_id()] if row_id else []))
 
 
-def scan_extract(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
+def scan_extract(spark: SparkSession, path: str, row_id: bool = False, multi_line: bool = True) -> DataFrame:
     """One extract, all text. Parquet extracts are cast to text."""
     if path.lower().endswith(".parquet"):
         raw = spark.read.parquet(path)
         cells = [F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns]
         return raw.select(*cells, *([ingest_row_id()] if row_id else []))
-    return read_csv(spark, [path], read_header(spark, path), row_id)
+    return read_csv(spark, [path], read_header(spark, path), row_id, multi_line)
 
 
-def union_extracts(spark: SparkSession, paths: Sequence[str], row_id: bool = False) -> DataFrame:
+def union_extracts(spark: SparkSession, paths: Sequence[str], row_id: bool = False, multi_line: bool = True) -> DataFrame:
     """All extracts of a family, columns in first-seen order, absent columns NULL.
 
     Extracts that share a header are one scan. No path gives an empty table.
     """
+    stored = [p for p in paths if p.lower().endswith(".parquet")]
+    delimited = [p for p in paths if p not in stored]
     by_header: dict[tuple[str, ...], list[str]] = {}
-    frames: list[DataFrame] = []
-    for path in paths:
-        if path.lower().endswith(".parquet"):
-            frames.append(scan_extract(spark, path, row_id))
-        else:
-            by_header.setdefault(tuple(read_header(spark, path)), []).append(path)
-    frames = [read_csv(spark, group, header, row_id) for header, group in by_header.items()] + frames
+    with ThreadPoolExecutor(16) as jobs:  # a header is one small job; many run at a time
+        for path, header in zip(delimited, jobs.map(lambda p: tuple(read_header(spark, p)), delimited)):
+            by_header.setdefault(header, []).append(path)
+    frames = [read_csv(spark, group, header, row_id, multi_line) for header, group in by_header.items()]
+    frames += [scan_extract(spark, path, row_id) for path in stored]
     if not frames:
         return spark.createDataFrame([], T.StructType([]))
     out = frames[0]
@@ -141,8 +153,9 @@ def union_extracts(spark: SparkSession, paths: Sequence[str], row_id: bool = Fal
 
 
 def empty_table(spark: SparkSession, table: str) -> DataFrame:
-    """A table without rows, in the layout the transformation reads."""
-    return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in REQUIRED[table]]))
+    """A table without rows, in the layout the transformation reads; of other tables the material alone."""
+    columns = REQUIRED.get(table, ["MATNR"])
+    return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
 # --------------------------------------------------------------------------- #
@@ -192,6 +205,21 @@ def fetch_families(spark: SparkSession, landing: str, root: str, families: Mappi
     return written
 
 
+def fetch_summary(spark: SparkSession, landing: str, root: str, families: Mapping[str, str],
+                  source_type: str, extensions: Sequence[str] = (".csv",)) -> DataFrame:
+    """Combine and write every family; per family its files, rows and path, with the number of all files."""
+    written = fetch_families(spark, landing, root, families, source_type, extensions)
+    files = {family: len(select_family(spark, landing, prefix, extensions)) for family, prefix in families.items()}
+    rows = None
+    for family, path in written.items():
+        one = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(f"{family}_{source_type}").alias("name"), F.lit(family).alias("family"),
+            F.lit(source_type).alias("source_type"), F.lit(files[family]).cast("bigint").alias("source_files"),
+            "row_count", F.lit(path).alias("saved_path"), F.lit(sum(files.values())).cast("bigint").alias("total_files_fetched"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def load_reference(spark: SparkSession, root: str, folder: str, table: str, required: bool = True) -> DataFrame | None:
     """Latest combined extract of a reference table, reduced to the columns the rules read."""
     try:

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteshift.layouts import NA_TOKENS, TARGET_FAMILIES
+from siteshift.layouts import NA_TOKENS, SOURCE_FAMILIES, TARGET_FAMILIES
 from siteshift.plans.validate import validate_direct
 from siteshift.session import shared_folder
 from siteshift.sources import scan
@@ -100,8 +100,8 @@ _FIRST_SQL = f"SELECT {', '.join(CELLS)} FROM raw_marc WHERE WERKS < '1028'"
 register("scan_extract", lambda spark, sf: scan.scan_extract(spark, f"{families(spark, sf)}/{_FIRST}"), source_sql(_FIRST_SQL))
 register("scan_family_select",
          lambda spark, sf: (lambda folder: scan.union_extracts(
-             spark, [p for p in scan.select_family(spark, folder, TARGET_FAMILIES["MARC"]) if p.endswith(".csv")]))(families(spark, sf)),
-         source_sql(_FIRST_SQL))
+             spark, scan.select_family(spark, folder, TARGET_FAMILIES["MARC"])).select("MATNR", "WERKS"))(families(spark, sf)),
+         source_sql("SELECT MATNR, WERKS FROM raw_marc"))
 register("union_extracts",
          lambda spark, sf: scan.union_extracts(spark, scan.select_family(spark, families(spark, sf), TARGET_FAMILIES["MARC"])),
          source_sql(f"""{_FIRST_SQL.replace(' FROM', ', CAST(NULL AS VARCHAR) AS AWSLS FROM')}
@@ -116,6 +116,39 @@ register("empty_family",
          .select("family", "source_files", "row_count"),
          source_sql("""SELECT 'MBEW' AS family, CAST(1 AS BIGINT) AS source_files, (SELECT count(*) FROM raw_mbew) AS row_count
            UNION ALL SELECT 'MARD', 0, 0"""))
+
+
+def _write_sources(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Source-side families; a material text with quoted line breaks, commas and quotes."""
+    raw = raw_extracts(spark, sf_dir)
+    note = F.concat(F.lit('first, "line"\n'), F.col("MATNR"), F.lit("\r\n last "))
+    _csv(raw["MARC"].select("MATNR", "WERKS", note.alias("NOTE")), f"{folder}/MARC_DAP_1.csv")
+    _csv(raw["MARC"].limit(0).select("MATNR", "WERKS"), f"{folder}/MARC_DAP_2.csv")
+    _csv(raw["MBEW"].select("MATNR", "STPRS"), f"{folder}/MBEW_DAP.csv")
+
+
+def _summary(side: str, landing_set, prefixes: dict):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}"
+        found = scan.fetch_summary(spark, landing_set(spark, sf_dir), root, prefixes, side)
+        return found.withColumn("saved_path", F.replace("saved_path", F.lit(root), F.lit("")))
+
+    return query
+
+
+_sources = lambda spark, sf: written(spark, sf, "sources", _write_sources)
+register("scan_quoted_breaks", lambda spark, sf: scan.scan_extract(spark, f"{_sources(spark, sf)}/MARC_DAP_1.csv"),
+         source_sql("""SELECT MATNR, WERKS, 'first, "line"' || chr(10) || MATNR || chr(13) || chr(10) || ' last ' AS NOTE FROM raw_marc"""))
+register("fetch_summary_source", _summary("ECC", _sources, SOURCE_FAMILIES),
+         source_sql("""SELECT f || '_ECC' AS name, f AS family, 'ECC' AS source_type, n AS source_files, r AS row_count,
+             '/' || f || '/ECC/' || f || '_ECC_combined.parquet' AS saved_path, CAST(3 AS BIGINT) AS total_files_fetched
+           FROM (SELECT 'MARC' AS f, CAST(2 AS BIGINT) AS n, (SELECT count(*) FROM raw_marc) AS r
+                 UNION ALL SELECT 'MBEW', 1, (SELECT count(*) FROM raw_mbew)) x"""))
+register("fetch_summary_target", _summary("S4", families, {**TARGET_FAMILIES, "MARD": "S_MARD#FreeText"}),
+         source_sql("""SELECT f || '_S4' AS name, f AS family, 'S4' AS source_type, n AS source_files, r AS row_count,
+             '/' || f || '/S4/' || f || '_S4_combined.parquet' AS saved_path, CAST(3 AS BIGINT) AS total_files_fetched
+           FROM (SELECT 'MARC' AS f, CAST(2 AS BIGINT) AS n, (SELECT count(*) FROM raw_marc) AS r
+                 UNION ALL SELECT 'MBEW', 1, (SELECT count(*) FROM raw_mbew) UNION ALL SELECT 'MARD', 0, 0) x"""))
 register("sink_combined",
          lambda spark, sf: spark.read.parquet(scan.fetch_families(
              spark, families(spark, sf), f"{shared_folder(spark)}/combined-{uuid.uuid4().hex}", TARGET_FAMILIES, "S4")["MARC"]),
