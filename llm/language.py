@@ -49,10 +49,15 @@ def grams(texts: pa.Array, most: int = ORDER + 1) -> tuple[np.ndarray, np.ndarra
 
 
 def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("lang"))
+    """lang and text of at most sample_docs labelled rows of each language, rows that repeat taken once.
+
+    They are chosen by ids and hashes alone; the choice, sample_docs rows a language, is what is broadcast.
+    """
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("lang"), F.xxhash64("text").alias("tie"), "text")
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")) & F.col("id").isNotNull())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text")))
-    return rows.withColumn("place", place).where(F.col("place") <= sample_docs).select("lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "tie"))
+    chosen = rows.select("lang", "id", "tie").withColumn("place", place).where(F.col("place") <= sample_docs).drop("place").distinct()
+    return rows.join(F.broadcast(chosen), ["lang", "id", "tie"]).dropDuplicates(["lang", "id", "tie"]).select("lang", "text")
 
 
 def held_out(doc_id: Column) -> Column:
