@@ -205,6 +205,22 @@ def unit_price(price: Column, units: Column) -> Column:
     return F.when(p.rlike(_SHORT_DECIMAL) & u.rlike(_SHORT_DECIMAL), short).otherwise(_exact_quotient(price, units))
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """A non-negative double rounded on its exact binary value, ties to even, as the digits of floats are printed.
+
+    Scaled by a power of two the value is an integer, so which side of a tie it lies on is decided without error.
+    """
+    def exact(bits: int) -> Column:
+        unit = F.lit(str(2**bits)).cast("decimal(38,0)")
+        scaled = (x * F.lit(float(2**bits))).cast("bigint").cast("decimal(38,0)") * F.lit(10**digits)
+        rest = scaled % unit
+        whole = ((scaled - rest) / unit).cast("decimal(38,0)")
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+        return (whole + up.cast("int")).cast("double") / 10**digits
+
+    return F.when(x < 100.5, exact(56)).when(x < 2.0**17, exact(45)).otherwise(F.bround(x, digits))
+
+
 def same(a: Column, b: Column) -> Column:
     """Equal as text (NULL equals NULL) or both numbers of the same value."""
     return a.eqNullSafe(b) | F.coalesce(float_value(a) == float_value(b), F.lit(False))

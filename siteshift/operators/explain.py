@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteshift.functions.scalars import (
@@ -14,11 +14,12 @@ from siteshift.functions.scalars import (
     material_key,
     null_safe_key,
     num,
+    round_binary,
     same,
     strip_zeros,
 )
 from siteshift.layouts import KNOWN_GAPS, MARC_TARGET, OTHER_RULE, PAIR_FIELDS, ROUTES, RULE_TEXTS
-from siteshift.operators.lookups import ROW_ID, last_per_key
+from siteshift.operators.lookups import ROW_ID, last_per_key, own_exchange
 from siteshift.operators.plants import lookup, target_to_source
 
 Gap = tuple[str, str, str, str]
@@ -40,34 +41,46 @@ def source_fields(paired: DataFrame) -> list[str]:
     return paired.schema["s"].dataType.names
 
 
-def gap_note(field: str, gaps: Sequence[Gap]) -> Column:
+def gap_table(spark: SparkSession, gaps: Sequence[Gap]) -> DataFrame:
+    """Known gaps (material, target plant, field, note) as a table; plans don't grow with them."""
+    return spark.createDataFrame([tuple(g) for g in gaps], "material string, plant string, field string, note string")
+
+
+def with_gaps(paired: DataFrame, gaps: DataFrame | Sequence[Gap]) -> DataFrame:
+    """``_gaps``: notes by field of the known gaps of a paired row, NULL without any. Several notes are joined."""
+    table = gaps if isinstance(gaps, DataFrame) else gap_table(paired.sparkSession, gaps)
+    one = table.groupBy("material", "plant", "field").agg(F.array_join(F.array_sort(F.collect_set("note")), "; ").alias("note"))
+    by_key = one.groupBy(F.col("material").alias("t_PRODUCT"), F.col("plant").alias("t_WERKS")).agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "note"))).alias("_gaps"))
+    return paired.join(by_key, ["t_PRODUCT", "t_WERKS"], "left")
+
+
+def gap_note(field: Column | str) -> Column:
     """Note of a known gap on this record and field, else NULL."""
-    note = F.expr(_NOTHING)
-    for material, plant, gap_field, words in gaps:
-        if gap_field == field:
-            note = F.when((F.col("t_PRODUCT") == material) & (F.col("t_WERKS") == plant), words).otherwise(note)
-    return note
+    return F.try_element_at("_gaps", field if isinstance(field, Column) else F.lit(field))
 
 
 def pair_with_source(expected: DataFrame, source: DataFrame,
                      fields: Sequence[str] = MARC_TARGET) -> DataFrame:
     """Every expected row with its first source row: keys, and the wanted fields as structs ``t`` and ``s``.
 
-    ``source`` is a normalised plant-data extract with an ingest row id. Two structs rather than
-    some 260 renamed columns keep the optimizer's work on the plan small.
+    ``source`` is a normalised plant-data extract with an ingest row id. The first row of a key is told by its
+    id alone, then the wide rows meet it. Two structs rather than some 260 renamed columns keep the optimizer's
+    work on the plan small.
     """
+    keys = ["s_MATNR", "s_WERKS"]
     wanted = [c for c in source.columns if c in fields and c not in ("MATNR", "WERKS")]
-    first = (
-        source.filter(F.col("WERKS").isin(*[r.source for r in ROUTES]))
-        .groupBy(F.col("MATNR").alias("s_MATNR"), F.col("WERKS").alias("s_WERKS"))
-        .agg(F.min_by(F.struct(*wanted) if wanted else F.struct(ROW_ID), ROW_ID).alias("s"))
-    )
+    rows = source.filter(F.col("WERKS").isin(*[r.source for r in ROUTES])).select(
+        F.col("MATNR").alias("s_MATNR"), F.col("WERKS").alias("s_WERKS"), F.col(ROW_ID),
+        F.struct(*wanted or [ROW_ID]).alias("s"))
+    ids = rows.groupBy(*keys).agg(F.min(ROW_ID).alias("_first"))
+    first = rows.join(own_exchange(ids, *keys), keys).filter(F.col(ROW_ID) == F.col("_first")).select(*keys, "s")
     target = expected.select(
         F.col("PRODUCT").alias("s_MATNR"), lookup(F.col("WERKS"), target_to_source()).alias("s_WERKS"),
         F.col("PRODUCT").alias("t_PRODUCT"), F.col("WERKS").alias("t_WERKS"),
         F.struct(*[c for c in expected.columns if c in fields]).alias("t"),
     )
-    return target.join(first, ["s_MATNR", "s_WERKS"])
+    return target.join(own_exchange(first, *keys), keys)
 
 
 # --------------------------------------------------------------------------- #
@@ -83,28 +96,27 @@ def _values(field: str, columns: Sequence[str]) -> Column:
                     _target(field).alias("target_value"))
 
 
-def changed_fields(columns: Sequence[str], gaps: Sequence[Gap],
-                   fields: Sequence[str] = MARC_TARGET) -> Column:
-    """Changed fields of a paired row in target order, then known gaps on unchanged fields."""
-    compared = F.array(*[_values(f, columns) for f in MARC_TARGET if f != "PRODUCT" and f in fields])
-    changed = F.filter(compared, lambda x: ~same(x["source_value"], x["target_value"]))
-    flagged = [
-        F.when(gap_note(gap[2], [gap]).isNotNull() & same(_source(gap[2], columns), _target(gap[2])),
-               _values(gap[2], columns))
-        for gap in gaps if gap[2] in fields
-    ]
-    return F.concat(changed, F.array_compact(F.array(*flagged))) if flagged else changed
+def changed_fields(columns: Sequence[str], fields: Sequence[str] = MARC_TARGET) -> Column:
+    """Changed fields of a paired row in target order, then known gaps on unchanged fields.
+
+    Each field is one compiled comparison; only changed ones become entries.
+    """
+    compared = [f for f in MARC_TARGET if f != "PRODUCT" and f in fields]
+    changed = F.array_compact(F.array(*[
+        F.when(~same(_source(f, columns), _target(f)), _values(f, columns)) for f in compared]))
+    noted = F.array_compact(F.array(*[
+        F.when(gap_note(f).isNotNull() & same(_source(f, columns), _target(f)), _values(f, columns)) for f in compared]))
+    return F.when(F.col("_gaps").isNull(), changed).otherwise(F.concat(changed, noted))
 
 
-def explained(fields: Column, gaps: Sequence[Gap]) -> Column:
-    """Field entries with rule, status and note. The texts are small constant maps."""
+def explained(fields: Column) -> Column:
+    """Field entries with rule, status and note. The texts are small constant maps of the rule book."""
     details = _constant_map({f: RULE_TEXTS[f][1] for f in RULE_TEXTS})
     labels = _constant_map({f: RULE_TEXTS[f][0] for f in RULE_TEXTS})
-    notes = _constant_map({"\x1f".join(gap[:3]): gap[3] for gap in gaps} or {"": ""})
 
     def explain_one(x: Column) -> Column:
         field = x["source_field"]
-        note = F.try_element_at(notes, F.concat_ws("\x1f", F.col("t_PRODUCT"), F.col("t_WERKS"), field))
+        note = gap_note(field)
         return F.struct(
             field.alias("source_field"), x["source_value"].alias("source_value"),
             F.coalesce(F.try_element_at(details, field), F.lit(OTHER_RULE[1])).alias("rule_applied"),
@@ -117,12 +129,12 @@ def explained(fields: Column, gaps: Sequence[Gap]) -> Column:
     return F.transform(fields, explain_one)
 
 
-def preview_records(paired: DataFrame, gaps: Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
+def preview_records(paired: DataFrame, gaps: DataFrame | Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
     """One record per expected row with its changed fields nested."""
     fields = F.col("field_transformations")
     flagged = F.exists(fields, lambda f: f["validation_status"] != "pass")
-    changed = paired.withColumn("_changed", changed_fields(source_fields(paired), gaps))
-    return changed.withColumn("field_transformations", explained(F.col("_changed"), gaps)).select(
+    changed = with_gaps(paired, gaps).withColumn("_changed", changed_fields(source_fields(paired)))
+    return changed.withColumn("field_transformations", explained(F.col("_changed"))).select(
         F.concat_ws("-", "t_PRODUCT", "t_WERKS").alias("record_id"),
         F.col("t_PRODUCT").alias("matnr"), F.col("s_WERKS").alias("ecc_plant"), F.col("t_WERKS").alias("s4_plant"),
         F.when(flagged, "warning").otherwise("success").alias("overall_status"),
@@ -159,7 +171,7 @@ def preview_totals(records: DataFrame, source: DataFrame) -> DataFrame:
                          F.count(F.lit(1)).alias("source_rows"))
     sums = facts.unionByName(scanned).agg(*[F.sum(c).alias(c) for c in ("records", "total", "warnings", "source_rows")])
     passes = F.col("total") - F.col("warnings")
-    rate = F.concat(F.format_string("%.1f", F.lit(100) * passes / F.col("total")), F.lit("%"))
+    rate = F.concat(F.format_string("%.1f", round_binary(F.lit(100) * passes / F.col("total"), 1)), F.lit("%"))
     return sums.select(
         F.col("records").alias("preview_record_count"),
         F.col("source_rows").alias("ecc_rows_in"),
@@ -174,13 +186,13 @@ def preview_totals(records: DataFrame, source: DataFrame) -> DataFrame:
 # Preview table rows
 # --------------------------------------------------------------------------- #
 
-def preview_pairs(columns: Sequence[str], gaps: Sequence[Gap]) -> Column:
+def preview_pairs(columns: Sequence[str]) -> Column:
     """Source and target value of the pair fields, as a map of structs."""
     pairs = []
     for f in PAIR_FIELDS:
         ecc, s4 = _source(f, columns), _target(f)
         pairs += [F.lit(f), F.struct(ecc.alias("ecc"), s4.alias("s4"), (~same(ecc, s4)).alias("changed"),
-                                     gap_note(f, gaps).alias("note"))]
+                                     gap_note(f).alias("note"))]
     return F.create_map(*pairs)
 
 
@@ -214,12 +226,13 @@ def summary_text(fields: Column) -> Column:
 
 
 def preview_rows(paired: DataFrame, mara: DataFrame, marm: DataFrame,
-                 gaps: Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
+                 gaps: DataFrame | Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
     """The preview table: one row per expected row with pairs, conversion and summary."""
     columns = source_fields(paired)
     facts = material_facts(mara, marm)
-    rows = paired.withColumn("_key", null_safe_key(F.col("t_PRODUCT"))).join(facts, "_key", "left")
-    noted = F.coalesce(*[gap_note(f, gaps) for f in PAIR_FIELDS]).isNotNull()
+    noted_rows = with_gaps(paired, gaps).withColumn("_key", null_safe_key(F.col("t_PRODUCT")))
+    rows = noted_rows.join(own_exchange(facts, "_key"), "_key", "left")
+    noted = F.coalesce(*[gap_note(f) for f in PAIR_FIELDS]).isNotNull()
     # the row summary tells differences of the summary fields only, so only those are compared
     return rows.select(
         F.concat_ws("-", "t_PRODUCT", "t_WERKS").alias("record_id"),
@@ -227,11 +240,11 @@ def preview_rows(paired: DataFrame, mara: DataFrame, marm: DataFrame,
         F.col("MTART").alias("type"),
         F.col("s_WERKS").alias("ecc_plant"),
         F.col("t_WERKS").alias("s4_plant"),
-        preview_pairs(columns, gaps).alias("pairs"),
+        preview_pairs(columns).alias("pairs"),
         conversion().alias("conversion"),
         _source("LOSGR", columns).alias("ecc_losgr"),
         _target("LOSGR").alias("s4_losgr"),
-        summary_text(changed_fields(columns, gaps, SUMMARY_FIELDS)).alias("rules"),
+        summary_text(changed_fields(columns, SUMMARY_FIELDS)).alias("rules"),
         F.when(noted, "warning").otherwise("success").alias("status"),
     )
 
@@ -262,7 +275,7 @@ def losgr_check(rows: DataFrame) -> DataFrame:
 def unproduced_rows(source: DataFrame, paired: DataFrame) -> DataFrame:
     """Source rows whose (material, plant) no expected row came from."""
     produced = paired.select(F.col("s_MATNR").alias("MATNR"), F.col("s_WERKS").alias("WERKS")).distinct()
-    return source.join(produced, ["MATNR", "WERKS"], "left_anti")
+    return source.join(own_exchange(produced, "MATNR", "WERKS"), ["MATNR", "WERKS"], "left_anti")
 
 
 def preview_unmapped(source: DataFrame, paired: DataFrame, mara: DataFrame) -> DataFrame:
@@ -280,7 +293,7 @@ def preview_unmapped(source: DataFrame, paired: DataFrame, mara: DataFrame) -> D
         .when(blank_to_null(F.col("LVORM")).isNotNull(), "Plant-level deletion flag set")
         .otherwise("Filtered out by engine rules")
     )
-    return rows.withColumn("_key", null_safe_key(F.col("MATNR"))).join(facts, "_key", "left").select(
+    return rows.withColumn("_key", null_safe_key(F.col("MATNR"))).join(own_exchange(facts, "_key"), "_key", "left").select(
         "MATNR", F.col("WERKS").alias("ecc_plant"), reason.alias("reason"))
 
 

@@ -16,6 +16,15 @@ from siteshift.functions.scalars import not_in, null_safe_key, strip_zeros
 ROW_ID = "_row_id"
 
 
+def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
+    """An aggregate's rows behind an exchange that no join can take for its own.
+
+    A join then shuffles them once more, narrow as they are, and both its sides are plain exchanges whose hot
+    partitions adaptive execution can split.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str | Column = ROW_ID) -> DataFrame:
     """First row of every key in ingest order, whole rows."""
     rest = [c for c in df.columns if c not in keys]

@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteshift.functions.scalars import is_blank, is_date, is_number, match_key, plant_text, too_long
+from siteshift.functions.scalars import is_blank, is_date, is_number, match_key, plant_text, round_binary, too_long
 from siteshift.mapping import TYPE_EXCEPTIONS, FieldMapping, Placed, SheetMapping
 
 SEVERITY = {"pass": 0, "warning": 1, "fail": 2}
@@ -230,7 +230,7 @@ def breakdown_columns() -> dict[str, Column]:
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.bround(part / whole * 100, 1)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, round_binary(part / whole * 100, 1)).otherwise(F.lit(0.0))
 
 
 def common_key_columns() -> dict[str, Column]:
@@ -274,7 +274,7 @@ def full_count_rule(tolerance_pct: float = 0.0, explained: bool = True) -> Colum
     mismatch.append(F.when(within, _text(f" Within the configured tolerance of {tolerance_pct}% (",
                                          F.format_string("%.2f", pct), "%).")).otherwise(""))
     detail = _entry(expected_row_count=n_exp, actual_row_count=n_act, delta=delta,
-                    **causes, delta_pct=F.bround(pct, 2), tolerance_pct=str(tolerance_pct))
+                    **causes, delta_pct=round_binary(pct, 2), tolerance_pct=str(tolerance_pct))
     equal = n_exp == n_act
     return _rule(
         "record_count", "Record Count Reconciliation",

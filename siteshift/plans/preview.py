@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siteshift.layouts import KNOWN_GAPS
 from siteshift.operators import explain
@@ -25,12 +26,16 @@ class Preview:
     unmapped: DataFrame
     reasons: DataFrame
     totals: DataFrame
+    requested: DataFrame | None
+    not_found: DataFrame | None
+    available: DataFrame
 
 
 def transformation_preview(tables: Mapping[str, DataFrame | None], requested: DataFrame | None = None,
-                           limit: int | None = None, gaps: Sequence[explain.Gap] = KNOWN_GAPS) -> Preview:
+                           limit: int | None = None, gaps: DataFrame | Sequence[explain.Gap] = KNOWN_GAPS) -> Preview:
     """Preview of the requested materials, of the first ``limit`` source rows, or of everything."""
-    source = tables["MARC"]
+    available = tables["MARC"]
+    source = available
     if requested is not None:
         source = explain.filter_materials(source, requested)
     elif limit is not None:
@@ -48,4 +53,7 @@ def transformation_preview(tables: Mapping[str, DataFrame | None], requested: Da
         unmapped=unmapped,
         reasons=explain.reason_counts(unmapped),
         totals=explain.preview_totals(records, source),
+        requested=None if requested is None else explain.requested_materials(requested),
+        not_found=None if requested is None else explain.requested_not_in_source(requested, available),
+        available=available.agg(F.count(F.lit(1)).alias("total_rows_available")),
     )

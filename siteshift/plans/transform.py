@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from siteshift.functions.scalars import null_safe_key
 from siteshift.layouts import PLANT_COLUMN, Route
 from siteshift.operators import marc, mbew
-from siteshift.operators.lookups import ea_denominators, material_context, purchasing_groups
+from siteshift.operators.lookups import ea_denominators, material_context, own_exchange, purchasing_groups
 from siteshift.operators.plants import active_source_rows, lookup, routes_of, split_sides
 from siteshift.sources.normalize import normalize_extract
 
@@ -98,12 +98,10 @@ def key_context(sheet: str, rows: DataFrame, tables: Mapping[str, DataFrame | No
 def attach_context(rows: DataFrame, ctx: DataFrame) -> DataFrame:
     """Wide rows joined to their narrow context.
 
-    The context is hashed, so the wide side is shuffled but never sorted; per partition the
-    context is a small fraction of the rows it is joined to. The explicit exchange (its key order
-    differs, so it is not optimised away) gives adaptive execution statistics for both sides:
-    an empty context removes the join and all above it, a hot partition is split.
+    The context's own exchange gives adaptive execution statistics for both sides: an empty context removes
+    the join and all above it, a hot partition is split, and the context is hashed where it was measured small.
     """
-    return rows.join(ctx.repartition(*reversed(KEYS)).hint("shuffle_hash"), KEYS)
+    return rows.join(own_exchange(ctx, *KEYS), KEYS)
 
 
 def joined_rows(sheet: str, tables: Mapping[str, DataFrame | None],

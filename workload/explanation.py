@@ -213,7 +213,7 @@ register("preview_reason_counts", lambda spark, sf: explain.reason_counts(unmapp
 # --- requested materials ------------------------------------------------------- #
 REQUESTED = """
 SELECT CASE o_custkey % 4 WHEN 0 THEN ' 000' || CAST(o_custkey AS STRING) WHEN 1 THEN CAST(o_custkey * 3 AS STRING)
-            WHEN 2 THEN '' ELSE CAST(o_custkey AS STRING) || ' ' END AS MATNR FROM {orders} WHERE o_orderstatus = 'F'
+            WHEN 2 THEN '' ELSE CAST(o_custkey AS STRING) || ' ' END AS MATNR FROM {orders}
 """
 _WANTED = ("requested", "SELECT DISTINCT regexp_replace(trim(MATNR), '^0+', '') AS material FROM ("
            + REQUESTED.format(orders="orders") + ") r WHERE trim(MATNR) <> ''")
@@ -247,3 +247,22 @@ _at = [name for name, _ in _SUBSET].index("marc_all") + 1
 _SUBSET[_at:_at] = [_WANTED, ("marc", "SELECT * FROM marc_all WHERE MATNR IN (SELECT material FROM requested)")]
 register("transformation_preview", _preview, with_sql(_SUBSET, ORACLE["preview_totals"].rsplit("\nSELECT (SELECT", 1)[-1].join(
     ["SELECT (SELECT", ""])))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every requested material: found or not, next to the rows available and used."""
+    from siteshift.plans.preview import transformation_preview
+
+    parts = transformation_preview(source_tables(spark, sf_dir), requested=requested(spark, sf_dir), gaps=GAPS)
+    lost = parts.not_found.withColumn("_lost", F.lit(True))
+    listed = parts.requested.join(lost, "material", "left").select("material", F.col("_lost").isNull().alias("found"), F.lit(1).alias("one"))
+    counts = parts.available.withColumn("one", F.lit(1)).join(parts.totals.select("ecc_rows_in", F.lit(1).alias("one")), "one")
+    return listed.join(F.broadcast(counts), "one").drop("one")  # counts is one row
+
+
+register("preview_requests", _requests,
+         with_sql(target_ctes("MARC") + [_WANTED],
+                  """SELECT material, material IN (SELECT MATNR FROM marc WHERE MATNR IS NOT NULL) AS found,
+                       (SELECT count(*) FROM marc) AS total_rows_available,
+                       (SELECT count(*) FROM marc WHERE MATNR IN (SELECT material FROM requested)) AS ecc_rows_in
+                     FROM requested"""))
