@@ -70,7 +70,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and their inverses modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 2 << 20)
         base = 0x5851F42D4C957F2D
         for x in (base, pow(base, -1, 1 << 64)):
             table = np.full(size, np.uint64(x))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from importlib import import_module
 
 from llm import common
@@ -24,8 +23,6 @@ _MODULES = {
 
 def _ready(query):
     def run(spark, sf_dir):
-        # workers import this package from where it lies
-        spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         return query(common.tuned(spark), sf_dir)
 
     return run

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 350_000
+CACHE_WORDS = 200_000
 
 #: A letter or digit before ASCII punctuation.
 _PLAIN_BOUNDARY = r"([\pL\pN])([!-/:-@\[-`{-~]+)"
