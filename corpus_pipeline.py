@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,32 +11,27 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 
 
-def _ready(spark: SparkSession) -> SparkSession:
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.abspath(__file__)))
-    return common.tuned(spark)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what no language explains: texts that are null, without a letter or incompressible."""
-    _ready(spark)
+    common.tuned(spark)
     return language.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
-    _ready(spark)
+    common.tuned(spark)
     return jaccard.keep_first(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks credentials that one source alone holds and that look live; every document stays."""
-    _ready(spark)
+    common.tuned(spark)
     return secrets.mask_owned(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into windows: one row per piece, as the packing query returns them."""
-    _ready(spark)
+    common.tuned(spark)
     return packing.piece_digests(packing.pack(docs, TOKENIZER, END_ID))
 
 
