@@ -272,26 +272,29 @@ def leader_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return joined.where(_may_link(percent)).select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b")).distinct()
 
 
-def list_entries(classes: DataFrame) -> DataFrame:
-    """cid, token, pos of the index lists that hold more than one family, a written table."""
-    entries = classes.select("cid", "family", F.posexplode("prefix").alias("pos", "token"))
+def list_entries(prefixes: DataFrame, families: DataFrame) -> DataFrame:
+    """cid, token, pos of the index lists that hold more than one family, a written table.
+
+    prefixes has cid and prefix, of classes and of the rows that are equal to them; families has cid and family.
+    """
+    entries = prefixes.join(families, "cid").dropDuplicates(["cid"]).select("cid", "family", F.posexplode("prefix").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high"))
     lists = common.staged(lists.where("low <> high").select("token"), "lists")
     return common.staged(entries.join(lists, "token").select("cid", "token", F.col("pos").cast("long").alias("pos")), "entries")
 
 
-def several_families(entries: DataFrame, classes: DataFrame) -> DataFrame:
-    """The entries with family, n and size of their list, of lists that still hold more than one family."""
-    entries = entries.join(classes.select("cid", "family", "n", *(f"p{i}" for i in range(4))), "cid")
+def several_families(entries: DataFrame, families: DataFrame) -> DataFrame:
+    """The entries with family and size of their list, of lists that still hold more than one family."""
+    entries = entries.join(families, "cid")
     lists = entries.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.count("*").alias("size"))
     lists = common.staged(lists.where("low <> high").select("token", "size"), "lists")
     return common.staged(entries.join(lists, "token"), "entries")
 
 
-def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def star_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one set of each longer list, another one in each, with those of other families that may link."""
-    entries = entries.where(F.col("size") >= STAR)
     parity = [f"p{i}" for i in range(4)]
+    entries = entries.where(F.col("size") >= STAR).join(classes.select("cid", "n", *parity), "cid")
     lead = F.min_by(F.struct("cid", "family", "n", *parity), F.xxhash64("token", "cid"))
     leaders = entries.groupBy("token").agg(lead.alias("l")).select("token", *(F.col(f"l.{x}").alias(f"l_{x}") for x in ("cid", "family", "n", *parity)))
     joined = entries.join(common.staged(leaders, "leaders"), "token").where("family <> l_family")
@@ -300,7 +303,7 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def list_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of different families whose prefixes share a token and that may link."""
-    kept = entries.select("cid", "token", "pos", "size", "family", "n").join(classes.select("cid", "fit"), "cid")
+    kept = entries.select("cid", "token", "pos", "size", "family").join(classes.select("cid", "n", "fit"), "cid")
     # a list of more than PART entries is dealt into parts, and every two parts meet in a task of their own
     parts = F.ceil(F.col("size") / PART).cast("int")
     own = F.pmod(F.hash("cid"), parts)
@@ -450,10 +453,11 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return common.staged(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def with_families(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes with family, the component of the links found so far, a written table."""
+def families_of(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """cid and family, the component of the links found so far, a written table."""
     family = common.components(classes.sparkSession, links, "family").withColumnRenamed("node", "cid")
-    return common.staged(classes.join(family, "cid", "left").withColumn("family", F.coalesce("family", "cid")), "families")
+    found = classes.select("cid").join(family, "cid", "left")
+    return common.staged(found.select("cid", F.coalesce("family", "cid").alias("family")), "families")
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -466,15 +470,17 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     rows = common.staged(signatures(docs, k, percent, frequency_levels(docs, k)), "sets")
     classes = rows.where("n > 0").groupBy("set_a", "set_b").agg(F.min("key").alias("cid"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("head"))
     classes = common.staged(classes, "classes")
-    heads = rows.drop("doc_id", "set_a", "set_b").withColumnRenamed("key", "cid").join(classes.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    heads = rows.drop("doc_id", "set_a", "set_b", "prefix").withColumnRenamed("key", "cid").join(classes.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
     heads = common.staged(heads, "heads")
     links = verified(docs, narrowed(common.staged(leader_pairs(heads, percent), "near"), heads, percent), k, percent)
-    families = with_families(heads.drop("m0", "m1", "m2"), links)
-    entries = list_entries(families)
-    star = star_pairs(several_families(entries, families), percent)
+    families = families_of(heads, links)
+    # a row that repeats has its class's key too; its prefix is the same
+    prefixes = rows.where("n > 0").select(F.col("key").alias("cid"), "prefix")
+    entries = list_entries(prefixes, families)
+    star = star_pairs(several_families(entries, families), heads, percent)
     links = links.unionByName(verified(docs, narrowed(common.staged(star, "star"), heads, percent), k, percent))
-    families = with_families(families.drop("family"), links)
-    far = list_pairs(several_families(entries, families), families, percent)
+    families = families_of(heads, links)
+    far = list_pairs(several_families(entries, families), heads, percent)
     links = links.unionByName(verified(docs, narrowed(common.staged(far, "far"), heads, percent), k, percent))
     group = common.components(spark, links, "grp").withColumnRenamed("node", "cid")
     named = classes.join(group, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
