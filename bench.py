@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,7 +31,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    folder = tempfile.mkdtemp(prefix="bench-", dir=shared_folder(spark)) if "://" not in shared_folder(spark) else shared_folder(spark)
+    folder = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex}"
 
     def stored(df, name):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")

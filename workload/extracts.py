@@ -26,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --------------------------------------------------------------------------- #
 
 RAW_MARA = """
-SELECT lpad(CAST(p_partkey AS STRING), 18, '0') AS MATNR,
+SELECT lpad(CAST(CASE WHEN p_partkey % 37 = 5 THEN 700000000 + p_partkey ELSE p_partkey END AS STRING), 18, '0') AS MATNR,
        CASE WHEN p_partkey % 31 = 0 THEN 'X' END AS LVORM,
        CASE WHEN p_type IN ('PROMO', 'STANDARD') THEN 'FERT' WHEN p_type = 'ECONOMY' THEN 'HALB'
             WHEN p_type = 'LARGE' THEN 'ROH' WHEN p_type = 'MEDIUM' THEN 'LEIH'
@@ -34,21 +34,21 @@ SELECT lpad(CAST(p_partkey AS STRING), 18, '0') AS MATNR,
        CASE WHEN p_size % 3 = 0 THEN 'EA' ELSE 'CS' END AS MEINS,
        CASE WHEN p_size > 45 THEN '00999' WHEN p_size > 40 THEN '009990099900000999' ELSE '00100' END AS PRDHA,
        lpad(CAST(p_partkey AS STRING), 18, '0') AS _row_id
-FROM {part} WHERE p_partkey % 37 <> 5
+FROM {part}
 """
 
 RAW_MARM = """
-SELECT lpad(CAST(p_partkey AS STRING), 18, '0') AS MATNR, unit.meinh AS MEINH,
-       CASE WHEN unit.meinh = 'EA' THEN CAST(p_size % 13 AS STRING) ELSE '1' END AS UMREN,
+SELECT lpad(CAST(CASE WHEN p_partkey % 17 = 3 THEN 700000000 + p_partkey ELSE p_partkey END AS STRING), 18, '0') AS MATNR,
+       unit.meinh AS MEINH, CASE WHEN unit.meinh = 'EA' THEN CAST(p_size % 13 AS STRING) ELSE '1' END AS UMREN,
        lpad(CAST(p_partkey AS STRING), 18, '0') || unit.meinh AS _row_id
-FROM {part}, (SELECT 'EA' AS meinh UNION ALL SELECT 'CS' AS meinh) unit WHERE p_partkey % 17 <> 3
+FROM (SELECT *, 'EA' AS meinh FROM {part} UNION ALL SELECT *, 'CS' AS meinh FROM {part}) unit
 """
 
 RAW_EKGRP = """
-SELECT CAST(p_partkey AS STRING) AS MATNR, plant.werks AS WERKS,
-       'G' || CAST(p_size % 9 AS STRING) AS EKGRP
-FROM {part}, (SELECT '1021' AS werks UNION ALL SELECT '1025' AS werks UNION ALL SELECT '1029' AS werks) plant
-WHERE p_partkey % 4 <> 1
+SELECT CAST(CASE WHEN p_partkey % 4 = 1 THEN 700000000 + p_partkey ELSE p_partkey END AS STRING) AS MATNR,
+       plant.werks AS WERKS, 'G' || CAST(p_size % 9 AS STRING) AS EKGRP
+FROM (SELECT *, '1021' AS werks FROM {part} UNION ALL SELECT *, '1025' AS werks FROM {part}
+      UNION ALL SELECT *, '1029' AS werks FROM {part}) plant
 """
 
 # Further rows for the same keys: a second material type, a later EA unit, a second group.
@@ -135,6 +135,17 @@ FROM (SELECT l_partkey, plant, min(l_orderkey) AS ok FROM {lines} GROUP BY l_par
 JOIN {part} ON p_partkey = l_partkey
 """
 
+# Further valuation rows for the same material and area: another valuation type, and a row that repeats as a whole.
+MORE_MBEW = """
+SELECT MATNR, BWKEY, LVORM, CASE WHEN KOSGR = 'KG1' THEN 'C2' ELSE BWTAR END AS BWTAR,
+       CASE WHEN KOSGR = 'KG1' THEN '12.5' ELSE STPRS END AS STPRS, KOSGR, ZPLD2, ZPLD3, VPRSV, PEINH, BWPRS
+FROM ({mbew}) once WHERE KOSGR <> 'KG2'
+"""
+
+
+def valuation_sql(repeated: bool) -> str:
+    return f"{RAW_MBEW} UNION ALL {MORE_MBEW.replace('{mbew}', RAW_MBEW)}" if repeated else RAW_MBEW
+
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their plant."""
@@ -155,7 +166,7 @@ def raw_extracts(spark: SparkSession, sf_dir: str, every_line: bool = False) ->
     return {
         **{t: spark.sql(sql, part=part) for t, sql in reference_sql(every_line).items()},
         "MARC": spark.sql(RAW_MARC, lines=picked),
-        "MBEW": spark.sql(RAW_MBEW, lines=lines(spark, sf_dir), part=part),
+        "MBEW": spark.sql(valuation_sql(every_line), lines=lines(spark, sf_dir), part=part),
     }
 
 
@@ -253,7 +264,7 @@ def ctes(every_line: bool = False) -> list[tuple[str, str]]:
         ("first_lines", _FIRST_LINES),
         *[(f"raw_{t.lower()}", sql.format(part="part")) for t, sql in reference_sql(every_line).items()],
         ("raw_marc", RAW_MARC.format(lines="lines" if every_line else "first_lines")),
-        ("raw_mbew", RAW_MBEW.format(lines="lines", part="part")),
+        ("raw_mbew", valuation_sql(every_line).format(lines="lines", part="part")),
         ("mara", _normalized_sql("MARA", "SELECT * FROM raw_mara", True)),
         ("marm", _normalized_sql("MARM", "SELECT * FROM raw_marm", True)),
         ("ekgrp", _normalized_sql("EKGRP", "SELECT * FROM raw_ekgrp", False)),
