@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 K, S = 8, 2
 
-#: Quantiles of doc_id that bound the cells in which successors are found, and rows of a cell.
-QUANTILES, CELL_ROWS = 64, 20_000
+#: Quantiles of doc_id that bound the cells in which successors are found, rows of a cell aimed at, most cells.
+QUANTILES, CELL_ROWS, MOST_CELLS = 64, 20_000, 50_000
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -65,16 +65,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(left + right == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (left + right))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with next_<column>: the columns of the row that follows in descending doc_id, round to the first.
+def with_next(rows: DataFrame, columns: list[str], prepare=lambda df: df) -> DataFrame:
+    """prepare(rows) with next_<column>: the columns of the row that follows in descending doc_id, round to the first.
 
     Rows are dealt into cells of adjacent doc_ids: bounds are quantiles, and between two of them cells lie evenly.
-    Successors are looked up within cells; only the last row of a cell takes the first of the following one.
+    The first row of a cell is also dealt, last, into the cell before it, so wide rows are shuffled once and
+    successors are looked up within cells. There are at most MOST_CELLS cells besides the quantiles, and only
+    their first rows' keys are broadcast.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))
     known = rows.select(key.alias("k")).agg(F.count("*").alias("n"), F.percentile_approx("k", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q")).first()
     bounds = sorted(set(known["q"] or [0]))
-    parts = max(1, known["n"] // (CELL_ROWS * max(1, len(bounds))))
+    parts = max(1, min(known["n"] // CELL_ROWS, MOST_CELLS) // len(bounds))
 
     def cell(lo: int, hi: int) -> Column:
         """Number of the cell of a key between bounds lo and hi (positions), found by halving."""
@@ -86,24 +88,23 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
             return F.lit(lo * (parts + 1)) + F.greatest(F.lit(0), F.least(within, F.lit(parts - 1)))
         return F.lit(lo * (parts + 1)).cast("long")
 
-    dealt = rows.withColumn("cell", cell(0, len(bounds))).withColumn("tie", F.xxhash64("text"))
-    order = Window.partitionBy("cell").orderBy(F.desc_nulls_last("doc_id"), "tie")
-    own = F.struct(*columns)
-    dealt = dealt.withColumn("following", F.lead(own).over(order)).withColumn("place", F.row_number().over(order))
-    heads = dealt.where("place = 1").select("cell", own.alias("head"))
-    cells = dealt.where("place = 1").select("cell")
-    # one row per cell
-    before = Window.orderBy(F.desc("cell"))
-    target = cells.select("cell", F.coalesce(F.lead("cell").over(before), F.max("cell").over(Window.partitionBy())).alias("next_cell"))
-    last = dealt.where("following is null").drop("following").join(target, "cell").join(heads.withColumnRenamed("cell", "next_cell"), "next_cell")
-    kept = [F.col(c) for c in rows.columns]
-    inner = dealt.where("following is not null").select(*kept, *(F.col(f"following.{c}").alias(f"next_{c}") for c in columns))
-    return inner.unionByName(last.select(*kept, *(F.col(f"head.{c}").alias(f"next_{c}") for c in columns)))
+    dealt = rows.withColumn("cell", cell(0, len(bounds)).cast("long")).withColumn("tie", F.xxhash64("text"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), (-F.col("doc_id")).alias("down"), F.col("tie").alias("tie"))
+    heads = dealt.groupBy("cell").agg(F.min(place).alias("head"))
+    down = Window.orderBy(F.desc("cell"))  # one row per cell
+    heads = heads.select("cell", "head", F.coalesce(F.lag("cell").over(down), F.min("cell").over(Window.partitionBy())).alias("before"))
+    copies = dealt.join(F.broadcast(heads), "cell").where(place.eqNullSafe(F.col("head"))).dropDuplicates(["cell"])
+    copies = copies.withColumn("cell", F.col("before")).select(*dealt.columns)
+    both = prepare(dealt).withColumn("copy", F.lit(False)).unionByName(prepare(copies).withColumn("copy", F.lit(True)))
+    order = Window.partitionBy("cell").orderBy("copy", F.desc_nulls_last("doc_id"), "tie")
+    both = both.withColumn("following", F.lead(F.struct(*columns)).over(order)).where(~F.col("copy"))
+    kept = [c for c in both.columns if c not in ("cell", "tie", "copy", "following")]
+    return both.select(*kept, *(F.col(f"following.{c}").alias(f"next_{c}") for c in columns))
 
 
 def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(docs.withColumn("anchors", anchors(F.col("text"))), ["text", "anchors"])
+    paired = with_next(docs, ["text", "anchors"], lambda df: df.withColumn("anchors", anchors(F.col("text"))))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 2).cast("int")))
     paired = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "next_anchors").withColumn("edited_anchors", anchors(F.col("edited")))
