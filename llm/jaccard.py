@@ -135,6 +135,14 @@ def needed(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
+def most_apart(total, percent: int):
+    """Largest symmetric difference of two linked sets whose sizes add up to at most total.
+
+    The limit of one sum falls by one where the least overlap rises, never twice in a row.
+    """
+    return np.maximum(total - 2 * needed(total, percent), total - 1 - 2 * needed(total - 1, percent))
+
+
 def fitting_words(n: int) -> int:
     """64-bit words of the parities of a set of n tokens in index lists: a power of two times the least."""
     bits = LEAST_BITS
@@ -382,15 +390,21 @@ def narrowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def compare_list(c: dict, parities: Parities, rows: np.ndarray, percent: int):
-    """Yields arrays (a, b) of the pairs of one long list, or of two parts of one, that may link."""
-    rows = rows[np.lexsort((c["pos"][rows], c["family"][rows]))]
+    """Yields arrays (a, b) of the pairs of one long list, or of two parts of one, that may link.
+
+    Members of a family with parities of one length are a group: shorter parities differ in no more bits, so a
+    group's spread also holds at the length its first member is compared with another group's in.
+    """
+    words = parities.words[rows]
+    order = np.lexsort((c["pos"][rows], words, c["family"][rows]))
+    rows, words = rows[order], words[order]
     n, pos, family = c["n"][rows], c["pos"][rows], c["family"][rows]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(family) != 0]))
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(family) != 0) | (np.diff(words) != 0)]))
     count = np.diff(np.append(first, len(rows)))
     leads = np.repeat(np.arange(len(first)), count)
     spread = np.maximum.reduceat(parities.apart(rows, rows[first][leads]), first)
     low, high, rest = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(n - pos, first)
-    # families in blocks by position
+    # groups in blocks by position
     by_pos = np.argsort(np.minimum.reduceat(pos, first), kind="stable")
     blocks = [by_pos[i : i + BLOCK] for i in range(0, len(by_pos), BLOCK)]
     block_rest, block_low = (np.array([f(v[b]) for b in blocks]) for f, v in ((np.max, rest), (np.min, low)))
@@ -400,12 +414,11 @@ def compare_list(c: dict, parities: Parities, rows: np.ndarray, percent: int):
             u, v = (g.ravel() for g in np.meshgrid(x, blocks[j], indexing="ij"))
             if i == j:
                 u, v = u[u < v], v[u < v]
-            may = np.minimum(rest[u], rest[v]) >= needed(low[u] + low[v], percent)
+            may = (family[first[u]] != family[first[v]]) & (np.minimum(rest[u], rest[v]) >= needed(low[u] + low[v], percent))
             u, v = u[may], v[may]
-            total = high[u] + high[v]
-            may = parities.apart(rows[first[u]], rows[first[v]]) - spread[u] - spread[v] <= total - 2 * needed(total, percent)
+            may = parities.apart(rows[first[u]], rows[first[v]]) - spread[u] - spread[v] <= most_apart(high[u] + high[v], percent)
             u, v = u[may], v[may]
-            # the members of the families that are left
+            # the members of the groups that are left
             made = count[u] * count[v]
             step = 0
             while step < len(u):

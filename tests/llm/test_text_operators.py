@@ -72,6 +72,52 @@ def test_long_lists_in_parts_and_blocks(rows, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(docs, 3, 70)
 
 
+def listed(groups):
+    """Columns of one index list with an entry at position 0 of every set, and its parities; groups: sets by family."""
+    sets = [(family, np.array(sorted(s), np.uint64)) for family, group in enumerate(groups) for s in group]
+    parities = []
+    for _, s in sets:
+        bits = np.bincount((jaccard.mix(s ^ jaccard._SEEDS[2]) % np.uint64(jaccard.WIDE_BITS)).astype(np.int64), minlength=jaccard.WIDE_BITS) & 1
+        parities.append(jaccard.folded(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")[None], jaccard.fitting_words(len(s)))[0])
+    none = np.zeros(len(sets), np.int64)
+    columns = {"cid": np.arange(len(sets)), "family": np.array([f for f, _ in sets]), "n": np.array([len(s) for _, s in sets]), "pos": none, "x": none, "y": none, "own": none}
+    return columns, jaccard.Parities(parities, np.array([len(p) for p in parities]))
+
+
+def listed_pairs(groups, percent):
+    columns, parities = listed(groups)
+    found = jaccard.compare_list(columns, parities, np.arange(len(columns["cid"])), percent)
+    return {tuple(sorted(pair)) for a, b in found for pair in zip(a.tolist(), b.tolist())}
+
+
+@pytest.mark.parametrize("at", [513, 1025, 2049])
+def test_lists_keep_links_of_families_that_drift_over_a_parity_length(at):
+    for draw in range(20):
+        r = np.random.default_rng(draw)
+        token = iter(r.integers(1, 1 << 62, 8 * at).tolist())
+        lead = {next(token) for _ in range(at + 2)}
+        keep = sorted(lead)[: at - 1 - round(0.6 * at)]
+        member = {*keep, *(next(token) for _ in range(at - 1 - len(keep)))}
+        drop = {*sorted(member)[-24 * at // 512 :]}  # the other family's first has more tokens than the member
+        other = (member - drop) | {next(token) for _ in range(len(drop) + 3)}
+        assert len(other) == at + 2 and 100 * len(other & member) >= 90 * len(other | member)
+        assert (1, 2) in listed_pairs([[lead, member], [other]], 90), draw
+
+
+def test_lists_keep_links_where_the_sum_of_sizes_needs_one_token_more():
+    # 10 + 10 tokens may differ in none, 9 + 10 in one
+    member = {*range(1, 10)}
+    for draw in range(20):
+        extra = 1000 * (draw + 1)
+        assert (1, 2) in listed_pairs([[member | {extra}, member], [member | {extra + 1}]], 90), draw
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99, 100])
+def test_most_apart_covers_smaller_sums(percent):
+    single = [t - 2 * -(-percent * t // (100 + percent)) for t in range(2000)]
+    assert all(jaccard.most_apart(t, percent) >= max(single[: t + 1]) for t in range(1, 2000))
+
+
 def test_keep_first_keeps_columns_and_one_row_of_each_group(rows):
     docs = corpus()
     frame = rows(DOCS, *((d, t, "en", "s", len(t or ""), "k", "f") for d, t in docs), (3, docs[3][1], "en", "s", 1, "k", "f"))
