@@ -3,7 +3,8 @@
 A text longer than `chunk` code points is cut into chunks that overlap.  Each chunk is pre-tokenised by itself,
 from its own beginning.  Matching depends only on what follows, so once two scans share a boundary they agree
 from there on: the first boundary that a chunk's scan shares with its successor's inside their overlap is the
-seam.  The pieces between seams are encoded in parallel, and a text's ids are its pieces' ids in order.
+seam.  The pieces between seams are encoded in parallel, and a text's ids are its pieces' ids in order.  A piece
+is scanned with what follows it, up to the end of the chunk that found its seam, and its own matches are kept.
 A text with a seam that finds no shared boundary (a pre-token longer than the overlap) is encoded whole.
 Decoding concatenates the bytes of the ids.
 
@@ -13,7 +14,7 @@ Nulls and ties: a null text is empty and has no ids; rows that repeat are encode
 from __future__ import annotations
 
 import base64
-from itertools import chain
+from itertools import chain, repeat, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -52,15 +53,20 @@ def boundaries(pattern, text: str) -> list[int]:
     return [m.start() for m in pattern.finditer(text)]
 
 
-def _encoder(ranks_path: str, pattern: str, keep: tuple[str, ...]):
-    """mapInArrow function: columns `keep` and the ids of column text."""
+def _encoder(ranks_path: str, pattern: str, keep: tuple[str, ...], part: bool = False):
+    """mapInArrow function: columns `keep` and the ids of column text, with part of its matches that start before column own."""
 
     def run(batches):
         import regex
 
-        find, ids_of = regex.compile(pattern).findall, PieceIds(read_ranks(ranks_path), pattern).__getitem__
+        compiled, ids_of = regex.compile(pattern), PieceIds(read_ranks(ranks_path), pattern).__getitem__
+
+        def find(text, own):
+            return (m.group() for m in takewhile(lambda m: m.start() < own, compiled.finditer(text))) if part else compiled.findall(text)
+
         for batch in common.slices(batches, "text"):
-            found = [np.fromiter(chain.from_iterable(map(ids_of, find(text))), np.int32) if text else np.zeros(0, np.int32) for text in batch.column("text").to_pylist()]
+            owns = batch.column("own").to_pylist() if part else repeat(None)
+            found = [np.fromiter(chain.from_iterable(map(ids_of, find(text, own))), np.int32) if text else np.zeros(0, np.int32) for text, own in zip(batch.column("text").to_pylist(), owns)]
             at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), lists], [*keep, "ids"])
@@ -99,9 +105,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     cuts = seams.groupBy("row").agg(F.array_sort(F.collect_list("seam")).alias("seams"), F.count_if(F.col("seam").isNull()).alias("open"))
     cuts = kept.join(cuts, "row").select("row", "text", F.when(F.col("open") == 0, F.col("seams")).otherwise(F.array().cast("array<bigint>")).alias("seams"))
     ends = F.concat(F.array(F.lit(0).cast("long")), "seams", F.array(F.length("text").cast("long")))
-    pieces = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), lambda a, b: F.substring("text", (a + 1).cast("int"), (b - a).cast("int")))
-    pieces = cuts.select("row", F.posexplode(pieces).alias("piece", "text")).select("row", F.col("piece").cast("long"), "text").repartition("row", "piece")
-    encoded = pieces.mapInArrow(_encoder(ranks_path, pattern, ("row", "piece")), "row long, piece long, ids array<int>")
+    # piece i begins in chunk i, or is the whole text
+    end_of = lambda i: F.when(F.size(ends) == 2, F.length("text")).otherwise((i + 1) * chunk + overlap)
+    bounds = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+    pieces = F.transform(bounds, lambda p, i: F.struct((p["b"] - p["a"]).alias("own"), F.substring("text", p["a"] + 1, end_of(i) - p["a"]).alias("text")))
+    pieces = cuts.select("row", F.posexplode(pieces).alias("piece", "p")).select("row", F.col("piece").cast("long"), "p.own", "p.text").repartition("row", "piece")
+    encoded = pieces.mapInArrow(_encoder(ranks_path, pattern, ("row", "piece"), part=True), "row long, piece long, ids array<int>")
     joined = encoded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda p: p["ids"])).alias("ids"))
     return short.unionByName(kept.select("row", "doc_id").join(joined, "row").select("doc_id", "ids"))
 

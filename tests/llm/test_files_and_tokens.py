@@ -133,6 +133,16 @@ def test_chunks_encode_as_the_library(rows, chunk, overlap):
         assert bytes(got[doc_id].bytes) == (text or "").encode()
 
 
+@pytest.mark.parametrize("blank", ["\n\n", "\r\n\r\n", "\t\t", "\n \n\n"])
+def test_chunks_that_begin_after_blank_lines(rows, blank):
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    chunk, overlap = 40, 12
+    texts = ["x" * offset + f"a{blank}b" + " c" * 70 for offset in range(chunk + 2)] + [f"a{blank}b" * 40]
+    encoded = byte_bpe.encode(docs_of(rows, texts), RANKS, public_tokenizers.PATTERN, chunk, overlap)
+    got = {r.doc_id: r.ids for r in encoded.collect()}
+    assert sorted(got.values()) == sorted(plain.encode_ordinary(t) for t in texts)
+
+
 def test_byte_bpe_of_empty_table(rows):
     assert byte_bpe.decode(byte_bpe.encode(rows(DOCS), RANKS, public_tokenizers.PATTERN), RANKS).collect() == []
 
