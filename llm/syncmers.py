@@ -5,8 +5,9 @@ least of its s-mer hashes is its first or its last: whether it is one depends on
 passages give equal anchors wherever they stand.  The fingerprint lists the anchors' hashes in text order.
 
 Nulls and ties: a null text is empty, its fingerprint the empty string; a text with fewer than K words has one
-anchor, the hash of all its words, and one without words but not empty the hash of the text; equal s-mer hashes
-all count as the least.  Two empty fingerprints are alike (1), an empty and another are not (0).  The next
+anchor, the hash of all its words, one without words but not empty the hash of the text, and one none of whose
+k-mers is closed (2 * K - S - 2 words at most) its least k-mer hash; equal s-mer hashes all count as the least.
+Only empty texts have empty fingerprints: two are alike (1), one and another fingerprint are not (0).  The next
 document in descending doc_id: null doc_ids come last, rows that share a doc_id are ordered by a hash of their
 text; the last is followed by the first, a single row by itself.
 """
@@ -39,7 +40,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
         def of_mers(m):
             closed = lambda i: F.least(F.element_at(m, i), F.element_at(m, i + (width - 1))) == F.array_min(F.slice(m, i, F.lit(width)))
-            return F.transform(F.filter(starts, closed), lambda i: F.hash(F.slice(h, i, F.lit(k))))
+            hashed = lambda i: F.hash(F.slice(h, i, F.lit(k)))
+            least = lambda: F.array(F.array_min(F.transform(starts, hashed)))
+            return _let(F.filter(starts, closed), lambda at: F.when(F.size(at) > 0, F.transform(at, hashed)).otherwise(least()))
 
         return _let(mers, of_mers)
 

@@ -174,6 +174,21 @@ def test_anchors_are_closed_syncmers(rows):
         assert len(got[i]) == (len(places) if n >= syncmers.K else int(bool(text)))
 
 
+def test_texts_without_closed_kmers_have_an_anchor(rows):
+    r = random.Random(3)
+    texts = [" ".join(f"v{r.randrange(10**6)}" for _ in range(n)) for n in range(8, 13) for _ in range(40)]
+    bare = [t for t in texts if not brute_anchor_places(t, syncmers.K, syncmers.S)[0]]
+    assert {len(t.split()) for t in bare} >= {8, 9, 10}
+    near = [f"{t} more" for t in bare if len(t.split()) == 8]
+    docs = rows("doc_id long, text string", *enumerate(bare + near))
+    got = {x.doc_id: x for x in docs.select("doc_id", "text", syncmers.anchors(F.col("text")).alias("a")).collect()}
+    assert all(len(got[i].a) == 1 for i in range(len(bare))) and len({got[i].a[0] for i in range(len(bare))}) == len(bare)
+    # the copy has two k-mers: its anchor is that of the text where it keeps the least or the same closed one
+    eights = {got[i].text: got[i].a for i in range(len(bare))}
+    shared = [set(eights[got[i].text.removesuffix(" more")]) & set(got[i].a) for i in range(len(bare), len(got))]
+    assert any(shared)
+
+
 def test_fingerprints_and_the_next_document(rows, llm, monkeypatch, tmp_path):
     monkeypatch.setattr(syncmers, "CELL_ROWS", 2)
     r = random.Random(5)
