@@ -2,8 +2,9 @@
 
 The tokenizer drops white space and never joins bytes across it, so a text's ids are the ids of its
 white-space separated words in order.  Only ASCII white space is split on; any other white space stays
-inside a word and is left to the tokenizer itself.  A letter or digit before ASCII punctuation is always
-a token boundary, so a space put there changes no id and makes words repeat more.
+inside a word and is left to the tokenizer itself.  A letter or digit before ASCII punctuation is
+a token boundary, so a space put there changes no id and makes words repeat more; letters that end in a
+combining mark when they are composed and lower-cased are none and stay as they are.
 Words are made distinct per batch with Arrow's dictionary encoding and their ids are kept in a bounded
 cache, so the tokenizer sees each word rarely.  Words of Latin letters are one pre-token each and go
 straight to the tokenizer's model; all others take its whole path.
@@ -20,8 +21,10 @@ import pyarrow.compute as pc
 
 CACHE_WORDS = 200_000
 
-#: A letter or digit before ASCII punctuation.
-_PLAIN_BOUNDARY = r"([\pL\pN])([!-/:-@\[-`{-~]+)"
+#: Letters whose NFC form or lower case ends in a mark: U+0130 and those that composition leaves apart.
+_MARKED = "\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb4e"
+#: Another letter, or a digit, before ASCII punctuation.
+_PLAIN_BOUNDARY = rf"(\pN|[^\PL{_MARKED}])([!-/:-@\[-`{{-~]+)"
 
 #: Letters whose composed form is their only one and whose lower case is one letter.
 _LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+")

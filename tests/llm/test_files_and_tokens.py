@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -51,6 +52,15 @@ def test_word_tokenizer_equals_the_library(word_ids):
             assert ids[a:b].tolist() == word_ids(text) + ([] if end is None else [end])
 
 
+def test_letters_that_end_in_a_mark_before_punctuation(word_ids):
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] == "L"]
+    marked = [c for c in letters if unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] != "L"]
+    assert "İ" in marked and "\u0958" in marked and "\ufb2a" in marked
+    texts = [f"{c}{p} a{c}{p}b" for c in marked + ["a", "é", "日", "ڪ", "٣"] for p in (".", "-,")]
+    ids, at = WordTokenizer(WORD).encode(pa.array(texts), None)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [word_ids(t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1001])
 @pytest.mark.parametrize("most", [200, 70_000, 2**32 - 1])
 def test_variable_length_codes_round_trip(n, most):
