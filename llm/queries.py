@@ -18,6 +18,7 @@ _MODULES = {
     "op8_overlapping_chunks": "byte_bpe",
     "op9_closed_syncmers": "syncmers",
     "op10_language_ppm": "language",
+    "op11_spelling_kd": "spelling",
     "op13_kneser_ney": "kneser_ney",
 }
 
