@@ -19,6 +19,7 @@ _MODULES = {
     "op9_closed_syncmers": "syncmers",
     "op10_language_ppm": "language",
     "op11_spelling_kd": "spelling",
+    "op12_grammar_repair": "conversations",
     "op13_kneser_ney": "kneser_ney",
 }
 
