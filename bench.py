@@ -49,7 +49,7 @@ def main() -> None:
         "transform_mbew": lambda: t.transform_table("MBEW", tables),
         "validate_expected_actual": lambda: v.validate_expected_actual("MARC", expected["MARC"], actual["MARC"]),
         "validate_by_plant": lambda: v.validate_by_plant("MARC", expected["MARC"], actual["MARC"]),
-        "preview_changes": lambda: explain.preview_changes(explain.preview_records(paired())),
+        "preview_changes": lambda: explain.preview_changes(paired()),
         "preview_unmapped": lambda: explain.preview_unmapped(marc, paired(), tables["MARA"]),
     }
     seconds = {}

@@ -23,18 +23,21 @@ from siteshift.operators.lookups import ROW_ID, last_per_key, own_exchange
 from siteshift.operators.plants import lookup, target_to_source
 
 Gap = tuple[str, str, str, str]
-_NOTHING = "cast(NULL AS STRING)"
 SUMMARY_FIELDS = [*PAIR_FIELDS, "LOSGR"]
 
 
+def _raw_source(field: str, columns: Sequence[str]) -> str:
+    if field == "WERKS":
+        return "s_WERKS"
+    return f"s.`{field}`" if field in columns else "cast(NULL AS STRING)"
+
+
 def _target(field: str) -> Column:
     return blank_to_null(F.col(f"t.{field}"))
 
 
 def _source(field: str, columns: Sequence[str]) -> Column:
-    if field == "WERKS":
-        return blank_to_null(F.col("s_WERKS"))
-    return blank_to_null(F.col(f"s.{field}")) if field in columns else F.expr(_NOTHING)
+    return blank_to_null(F.expr(_raw_source(field, columns)))
 
 
 def source_fields(paired: DataFrame) -> list[str]:
@@ -91,65 +94,93 @@ def _constant_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def _values(field: str, columns: Sequence[str]) -> Column:
-    return F.struct(F.lit(field).alias("source_field"), _source(field, columns).alias("source_value"),
-                    _target(field).alias("target_value"))
+def _raw_entries(columns: Sequence[str], fields: Sequence[str], first: Sequence[str] = ()) -> Column:
+    """Array with one entry per compared field, in target order, its values as they are.
+
+    One parsed text: hundreds of Column calls would take longer to make than the query to plan.
+    """
+    compared = [f for f in MARC_TARGET if f != "PRODUCT" and f in fields]
+    return F.expr("array(" + ", ".join([*first, *(
+        f"named_struct('pos', {i}, 'source_field', '{f}', 'source_value', {_raw_source(f, columns)}, 'target_value', t.`{f}`)"
+        for i, f in enumerate(compared))]) + ")")
+
+
+def _worth_comparing(x: Column) -> Column:
+    """Text that differs, or a known gap: few entries get as far as the comparison of values."""
+    return ~x["source_value"].eqNullSafe(x["target_value"]) | gap_note(x["source_field"]).isNotNull()
 
 
 def changed_fields(columns: Sequence[str], fields: Sequence[str] = MARC_TARGET) -> Column:
-    """Changed fields of a paired row in target order, then known gaps on unchanged fields.
+    """Changed fields of a paired row in target order, then known gaps on unchanged fields, as one array.
 
-    Each field is one compiled comparison; only changed ones become entries.
+    The comparison stands in the plan once, as a function over the entries.
     """
-    compared = [f for f in MARC_TARGET if f != "PRODUCT" and f in fields]
-    changed = F.array_compact(F.array(*[
-        F.when(~same(_source(f, columns), _target(f)), _values(f, columns)) for f in compared]))
-    noted = F.array_compact(F.array(*[
-        F.when(gap_note(f).isNotNull() & same(_source(f, columns), _target(f)), _values(f, columns)) for f in compared]))
-    return F.when(F.col("_gaps").isNull(), changed).otherwise(F.concat(changed, noted))
+    def compared(x: Column) -> Column:
+        return F.struct(same(x["source_value"], x["target_value"]).alias("same"), x["pos"].alias("pos"),
+                        x["source_field"].alias("source_field"), x["source_value"].alias("source_value"), x["target_value"].alias("target_value"))
 
+    worth = F.filter(_raw_entries(columns, fields), _worth_comparing)
+    trimmed = F.transform(worth, lambda x: F.struct(
+        x["pos"].alias("pos"), x["source_field"].alias("source_field"), blank_to_null(x["source_value"]).alias("source_value"),
+        blank_to_null(x["target_value"]).alias("target_value")))
+    kept = F.filter(F.transform(trimmed, compared), lambda x: ~x["same"] | gap_note(x["source_field"]).isNotNull())
+    return F.array_sort(kept)
 
-def explained(fields: Column) -> Column:
-    """Field entries with rule, status and note. The texts are small constant maps of the rule book."""
+
+def _explanation(x: Column) -> list[Column]:
+    """Columns of one changed field with rule, status and note. The texts are small constant maps of the rule book."""
     details = _constant_map({f: RULE_TEXTS[f][1] for f in RULE_TEXTS})
     labels = _constant_map({f: RULE_TEXTS[f][0] for f in RULE_TEXTS})
-
-    def explain_one(x: Column) -> Column:
-        field = x["source_field"]
-        note = gap_note(field)
-        return F.struct(
-            field.alias("source_field"), x["source_value"].alias("source_value"),
-            F.coalesce(F.try_element_at(details, field), F.lit(OTHER_RULE[1])).alias("rule_applied"),
-            x["target_value"].alias("target_value"),
-            F.when(note.isNotNull(), "warning").otherwise("pass").alias("validation_status"),
-            F.coalesce(note, F.lit("")).alias("notes"),
-            F.coalesce(F.try_element_at(labels, field), F.lit(OTHER_RULE[0])).alias("rule_label"),
-        )
-
-    return F.transform(fields, explain_one)
+    field, note = x["source_field"], gap_note(x["source_field"])
+    return [
+        field.alias("source_field"), x["source_value"].alias("source_value"),
+        F.coalesce(F.try_element_at(details, field), F.lit(OTHER_RULE[1])).alias("rule_applied"),
+        x["target_value"].alias("target_value"),
+        F.when(note.isNotNull(), "warning").otherwise("pass").alias("validation_status"),
+        F.coalesce(note, F.lit("")).alias("notes"),
+        F.coalesce(F.try_element_at(labels, field), F.lit(OTHER_RULE[0])).alias("rule_label"),
+    ]
 
 
 def preview_records(paired: DataFrame, gaps: DataFrame | Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
-    """One record per expected row with its changed fields nested."""
+    """One record per expected row with its changed fields nested; nothing is grouped or shuffled for it."""
     fields = F.col("field_transformations")
     flagged = F.exists(fields, lambda f: f["validation_status"] != "pass")
     changed = with_gaps(paired, gaps).withColumn("_changed", changed_fields(source_fields(paired)))
-    return changed.withColumn("field_transformations", explained(F.col("_changed"))).select(
-        F.concat_ws("-", "t_PRODUCT", "t_WERKS").alias("record_id"),
-        F.col("t_PRODUCT").alias("matnr"), F.col("s_WERKS").alias("ecc_plant"), F.col("t_WERKS").alias("s4_plant"),
+    explained = F.transform(F.col("_changed"), lambda x: F.struct(*_explanation(x)))
+    return changed.withColumn("field_transformations", explained).select(
+        _record_id(), F.col("t_PRODUCT").alias("matnr"), F.col("s_WERKS").alias("ecc_plant"), F.col("t_WERKS").alias("s4_plant"),
         F.when(flagged, "warning").otherwise("success").alias("overall_status"),
         fields,
     )
 
 
-def preview_changes(records: DataFrame) -> DataFrame:
-    """One row per changed field.
+def _record_id() -> Column:
+    return F.concat_ws("-", "t_PRODUCT", "t_WERKS").alias("record_id")
+
 
-    An outer explode: for an inner one the optimizer infers a filter on the array and copies its
-    whole defining expression into it. Records without a change give one NULL entry, dropped here.
+def preview_facts(paired: DataFrame, gaps: DataFrame | Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
+    """One row per changed field, and one with a NULL field per record.
+
+    The fields of a record are dealt out as rows of plain values; those that differ as text, a few of each
+    record, meet the one comparison of the plan.
     """
-    entries = records.select("record_id", F.explode_outer("field_transformations").alias("f"))
-    return entries.select("record_id", "f.*").filter(F.col("source_field").isNotNull())
+    nothing = "cast(NULL AS STRING)"
+    record = f"named_struct('pos', -1, 'source_field', {nothing}, 'source_value', {nothing}, 'target_value', {nothing})"
+    rows = with_gaps(paired, gaps).select(
+        _record_id(), "_gaps", F.explode(_raw_entries(source_fields(paired), MARC_TARGET, [record])).alias("x"))
+    rows = rows.filter(F.col("x.source_field").isNull() | _worth_comparing(F.col("x")))
+    x = F.struct(F.col("x.source_field"), blank_to_null(F.col("x.source_value")).alias("source_value"),
+                 blank_to_null(F.col("x.target_value")).alias("target_value"))
+    rows = rows.select("record_id", "_gaps", x.alias("x"))
+    kept = rows.filter(F.col("x.source_field").isNull() | gap_note(F.col("x.source_field")).isNotNull()
+                       | ~same(F.col("x.source_value"), F.col("x.target_value")))
+    return kept.select("record_id", *_explanation(F.col("x")))
+
+
+def preview_changes(paired: DataFrame, gaps: DataFrame | Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
+    """One row per changed field, and per known gap on an unchanged one."""
+    return preview_facts(paired, gaps).filter(F.col("source_field").isNotNull())
 
 
 def rule_counts(changes: DataFrame) -> DataFrame:
@@ -157,19 +188,51 @@ def rule_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("rule_label").agg(F.count(F.lit(1)).alias("applied")).orderBy(F.desc("applied"), "rule_label")
 
 
-def preview_totals(records: DataFrame, source: DataFrame) -> DataFrame:
+# --------------------------------------------------------------------------- #
+# Report: rule counts, totals and reasons in one pass
+# --------------------------------------------------------------------------- #
+
+def preview_report(paired: DataFrame, unmapped: DataFrame, source: DataFrame,
+                   gaps: DataFrame | Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
+    """(section, label, rows, warnings): changes by rule, unmapped rows by reason, records and source rows.
+
+    A NULL label is the section's total. Records are read once: their changed fields and their own rows come
+    out of the same explode, are counted by label, and grouping sets over those few counts give the totals.
+    """
+    none = F.lit(None).cast("string")
+    changed = F.col("source_field").isNotNull()
+    facts = preview_facts(paired, gaps).select(
+        F.when(changed, "change").otherwise("record").alias("section"), F.when(changed, F.col("rule_label")).alias("label"),
+        (changed & (F.col("validation_status") != "pass")).alias("warned"))
+    lost = unmapped.select(F.lit("unmapped").alias("section"), F.col("reason").alias("label"), F.lit(False).alias("warned"))
+    scanned = source.select(F.lit("source").alias("section"), none.alias("label"), F.lit(False).alias("warned"))
+    counted = facts.unionByName(lost).unionByName(scanned).groupBy("section", "label").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("warned").alias("warnings"))
+    section, label = F.col("section"), F.col("label")
+    sets = counted.groupingSets([[section, label], [section]], section, label).agg(
+        F.sum("rows").alias("rows"), F.sum("warnings").alias("warnings"), F.grouping("label").alias("whole"))
+    return sets.filter((F.col("whole") == 1) | label.isNotNull()).drop("whole")
+
+
+def report_rule_counts(report: DataFrame) -> DataFrame:
+    rules = report.filter("section = 'change' AND label IS NOT NULL")
+    return rules.select(F.col("label").alias("rule_label"), F.col("rows").alias("applied")).orderBy(F.desc("applied"), "rule_label")
+
+
+def report_reasons(report: DataFrame) -> DataFrame:
+    reasons = report.filter("section = 'unmapped' AND label IS NOT NULL")
+    return reasons.select(F.col("label").alias("reason"), F.col("rows").alias("source_rows"))
+
+
+def preview_totals(report: DataFrame) -> DataFrame:
     """Passes, warnings and success rate over all changed fields, records and source rows."""
-    warned = F.size(F.filter("field_transformations", lambda f: f["validation_status"] != "pass"))
-    zero = F.lit(0).cast("bigint")
-    facts = records.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.coalesce(F.sum(F.size("field_transformations")), zero).alias("total"),
-        F.coalesce(F.sum(warned), zero).alias("warnings"),
-        F.lit(0).cast("bigint").alias("source_rows"),
-    )
-    scanned = source.agg(zero.alias("records"), zero.alias("total"), zero.alias("warnings"),
-                         F.count(F.lit(1)).alias("source_rows"))
-    sums = facts.unionByName(scanned).agg(*[F.sum(c).alias(c) for c in ("records", "total", "warnings", "source_rows")])
+    whole = report.filter(F.col("label").isNull())
+
+    def total(section: str, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("section") == section, F.col(column))), F.lit(0).cast("bigint"))
+
+    sums = whole.agg(total("record", "rows").alias("records"), total("source", "rows").alias("source_rows"),
+                     total("change", "rows").alias("total"), total("change", "warnings").alias("warnings"))
     passes = F.col("total") - F.col("warnings")
     rate = F.concat(F.format_string("%.1f", round_binary(F.lit(100) * passes / F.col("total"), 1)), F.lit("%"))
     return sums.select(
@@ -235,7 +298,7 @@ def preview_rows(paired: DataFrame, mara: DataFrame, marm: DataFrame,
     noted = F.coalesce(*[gap_note(f) for f in PAIR_FIELDS]).isNotNull()
     # the row summary tells differences of the summary fields only, so only those are compared
     return rows.select(
-        F.concat_ws("-", "t_PRODUCT", "t_WERKS").alias("record_id"),
+        _record_id(),
         F.col("t_PRODUCT").alias("matnr"),
         F.col("MTART").alias("type"),
         F.col("s_WERKS").alias("ecc_plant"),

@@ -22,6 +22,7 @@ class Preview:
     rows: DataFrame
     records: DataFrame
     changes: DataFrame
+    report: DataFrame
     rule_counts: DataFrame
     unmapped: DataFrame
     reasons: DataFrame
@@ -43,16 +44,17 @@ def transformation_preview(tables: Mapping[str, DataFrame | None], requested: Da
     expected = transform_table("MARC", {**tables, "MARC": source})
     paired = explain.pair_with_source(expected, source)
     records = explain.preview_records(paired, gaps)
-    changes = explain.preview_changes(records)
     unmapped = explain.preview_unmapped(source, paired, tables["MARA"])
+    report = explain.preview_report(paired, unmapped, source, gaps)
     return Preview(
         rows=explain.preview_rows(explain.pair_with_source(expected, source, explain.SUMMARY_FIELDS), tables["MARA"], tables["MARM"], gaps),
         records=records,
-        changes=changes,
-        rule_counts=explain.rule_counts(changes),
+        changes=explain.preview_changes(paired, gaps),
+        report=report,
+        rule_counts=explain.report_rule_counts(report),
         unmapped=unmapped,
-        reasons=explain.reason_counts(unmapped),
-        totals=explain.preview_totals(records, source),
+        reasons=explain.report_reasons(report),
+        totals=explain.preview_totals(report),
         requested=None if requested is None else explain.requested_materials(requested),
         not_found=None if requested is None else explain.requested_not_in_source(requested, available),
         available=available.agg(F.count(F.lit(1)).alias("total_rows_available")),

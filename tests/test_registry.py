@@ -1,17 +1,24 @@
-"""Every registered query has SQL; a sample of them agrees with it on the smallest tables."""
+"""Every query of the workload has SQL; a sample of them agrees with it on the smallest tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from workload import explanation, landing, normalization, reconciliation, scalars, transformation
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["transform_marc_repeated_keys", "transform_mbew", "validate_expected_actual_marc", "validate_by_plant",
           "preview_unmapped", "scan_dedup_header", "normalize_extract"]
 
 
+WORKLOAD = [transformation, scalars, normalization, landing, reconciliation, explanation]
+
+
 def test_contract_is_complete():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(WORKLOAD) <= set(contract.MODULES)
+    for module in WORKLOAD:
+        assert set(module.QUERIES) == set(module.ORACLE)
+        assert set(module.QUERIES) <= set(contract.queries()) and set(module.ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", SAMPLE)

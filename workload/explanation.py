@@ -42,6 +42,14 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.preview_rows(paired(spark, sf_dir, explain.SUMMARY_FIELDS), tables["MARA"], tables["MARM"], GAPS)
 
 
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.preview_changes(paired(spark, sf_dir), GAPS)
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.preview_report(paired(spark, sf_dir), unmapped(spark, sf_dir), source_tables(spark, sf_dir)["MARC"], GAPS)
+
+
 def unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = source_tables(spark, sf_dir)
     return explain.preview_unmapped(tables["MARC"], paired(spark, sf_dir), tables["MARA"])
@@ -143,10 +151,10 @@ register("join_expected_source",
 register("anti_unmapped",
          lambda spark, sf: explain.unproduced_rows(source_tables(spark, sf)["MARC"].select("MATNR", "WERKS"), paired(spark, sf)),
          sql("SELECT MATNR, ecc_plant AS WERKS FROM unmapped"))
-register("preview_changes", lambda spark, sf: explain.preview_changes(records(spark, sf)), sql(
+register("preview_changes", changes, sql(
     "SELECT record_id, source_field, source_value, rule_applied, target_value, validation_status, notes, rule_label FROM changes"))
 register("preview_known_gaps",
-         lambda spark, sf: explain.preview_changes(records(spark, sf)).filter("validation_status = 'warning'")
+         lambda spark, sf: changes(spark, sf).filter("validation_status = 'warning'")
          .select("record_id", "source_field", "source_value", "target_value", "notes"),
          sql("SELECT record_id, source_field, source_value, target_value, notes FROM changes WHERE validation_status = 'warning'"))
 register("preview_records",
@@ -157,15 +165,23 @@ register("preview_records",
                   CASE WHEN bool_or(validation_status = 'warning') THEN 'warning' ELSE 'success' END AS overall_status,
                   string_agg(source_field, ',' ORDER BY pos) AS fields
                 FROM paired p JOIN changes c ON c.record_id = t_PRODUCT || '-' || t_WERKS GROUP BY ALL"""))
-register("rule_counts", lambda spark, sf: explain.rule_counts(explain.preview_changes(records(spark, sf))), sql(
+register("rule_counts", lambda spark, sf: explain.rule_counts(changes(spark, sf)), sql(
     "SELECT rule_label, count(*) AS applied FROM changes GROUP BY rule_label ORDER BY applied DESC, rule_label"))
 register("preview_totals",
-         lambda spark, sf: explain.preview_totals(records(spark, sf), source_tables(spark, sf)["MARC"]),
+         lambda spark, sf: explain.preview_totals(report(spark, sf)),
          sql("""SELECT (SELECT count(*) FROM paired) AS preview_record_count, (SELECT count(*) FROM marc) AS ecc_rows_in,
                   count(*) FILTER (WHERE validation_status = 'pass') AS success_count, count(*) AS total_transformations,
                   printf('%.1f', 100.0 * count(*) FILTER (WHERE validation_status = 'pass') / count(*)) || '%' AS success_rate,
                   CAST(145 AS BIGINT) AS total_fields_per_record FROM changes"""))
 
+register("preview_report", report,
+         sql("""SELECT 'change' AS section, rule_label AS label, count(*) AS rows, count(*) FILTER (WHERE validation_status <> 'pass') AS warnings
+                FROM changes GROUP BY rule_label
+                UNION ALL SELECT 'change', NULL, count(*), count(*) FILTER (WHERE validation_status <> 'pass') FROM changes
+                UNION ALL SELECT 'record', NULL, count(*), 0 FROM paired UNION ALL SELECT 'source', NULL, count(*), 0 FROM marc
+                UNION ALL SELECT 'unmapped', reason, count(*), 0 FROM unmapped GROUP BY reason
+                UNION ALL SELECT 'unmapped', NULL, count(*), 0 FROM unmapped"""))
+
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = F.col("pairs")
