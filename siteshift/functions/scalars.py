@@ -222,8 +222,9 @@ def round_binary(x: Column, digits: int) -> Column:
 
 
 def same(a: Column, b: Column) -> Column:
-    """Equal as text (NULL equals NULL) or both numbers of the same value."""
-    return a.eqNullSafe(b) | F.coalesce(float_value(a) == float_value(b), F.lit(False))
+    """Equal as text (NULL equals NULL) or both numbers of the same value. Numbers are read where both sides have text."""
+    return F.when(a.eqNullSafe(b), True).when(a.isNull() | b.isNull(), False).otherwise(
+        F.coalesce(float_value(a) == float_value(b), F.lit(False)))
 
 
 def is_number(c: Column) -> Column:

@@ -44,15 +44,32 @@ def source_fields(paired: DataFrame) -> list[str]:
     return paired.schema["s"].dataType.names
 
 
+def _text(value: str | None) -> str:
+    if value is None:
+        return "cast(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def gap_table(spark: SparkSession, gaps: Sequence[Gap]) -> DataFrame:
-    """Known gaps (material, target plant, field, note) as a table; plans don't grow with them."""
-    return spark.createDataFrame([tuple(g) for g in gaps], "material string, plant string, field string, note string")
+    """Known gaps (material, target plant, field, note) as literal rows, whose size the planner knows exactly."""
+    rows = ", ".join(f"({', '.join(_text(x) for x in g)})" for g in gaps) or "(NULL, NULL, NULL, NULL)"
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS gap(material, plant, field, note) WHERE material IS NOT NULL").select(
+        *[F.col(c).cast("string").alias(c) for c in ("material", "plant", "field", "note")])
 
 
 def with_gaps(paired: DataFrame, gaps: DataFrame | Sequence[Gap]) -> DataFrame:
-    """``_gaps``: notes by field of the known gaps of a paired row, NULL without any. Several notes are joined."""
-    table = gaps if isinstance(gaps, DataFrame) else gap_table(paired.sparkSession, gaps)
-    one = table.groupBy("material", "plant", "field").agg(F.array_join(F.array_sort(F.collect_set("note")), "; ").alias("note"))
+    """``_gaps``: notes by field of the known gaps of a paired row, NULL without any. Several notes are joined.
+
+    A given list is grouped here, so its literal rows join as they are and paired rows stay where they are. A table
+    of any size is grouped and joined by its key.
+    """
+    if isinstance(gaps, DataFrame):
+        one = gaps.groupBy("material", "plant", "field").agg(F.array_join(F.array_sort(F.collect_set("note")), "; ").alias("note"))
+    else:
+        notes: dict[tuple, set[str]] = {}
+        for material, plant, field, note in gaps:
+            notes.setdefault((material, plant, field), set()).add(note)
+        one = gap_table(paired.sparkSession, [(*key, "; ".join(sorted(texts))) for key, texts in notes.items()])
     by_key = one.groupBy(F.col("material").alias("t_PRODUCT"), F.col("plant").alias("t_WERKS")).agg(
         F.map_from_entries(F.collect_list(F.struct("field", "note"))).alias("_gaps"))
     return paired.join(by_key, ["t_PRODUCT", "t_WERKS"], "left")
@@ -77,13 +94,14 @@ def pair_with_source(expected: DataFrame, source: DataFrame,
         F.col("MATNR").alias("s_MATNR"), F.col("WERKS").alias("s_WERKS"), F.col(ROW_ID),
         F.struct(*wanted or [ROW_ID]).alias("s"))
     ids = rows.groupBy(*keys).agg(F.min(ROW_ID).alias("_first"))
-    first = rows.join(own_exchange(ids, *keys), keys).filter(F.col(ROW_ID) == F.col("_first")).select(*keys, "s")
+    # an exchange by the keys themselves: adaptive execution may split a hot key's join, the join to come needs no other
+    first = rows.join(own_exchange(ids, *keys), keys).filter(F.col(ROW_ID) == F.col("_first")).select(*keys, "s").repartition(*keys)
     target = expected.select(
         F.col("PRODUCT").alias("s_MATNR"), lookup(F.col("WERKS"), target_to_source()).alias("s_WERKS"),
         F.col("PRODUCT").alias("t_PRODUCT"), F.col("WERKS").alias("t_WERKS"),
         F.struct(*[c for c in expected.columns if c in fields]).alias("t"),
     )
-    return target.join(own_exchange(first, *keys), keys)
+    return target.join(first, keys)
 
 
 # --------------------------------------------------------------------------- #
@@ -94,20 +112,21 @@ def _constant_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def _raw_entries(columns: Sequence[str], fields: Sequence[str], first: Sequence[str] = ()) -> Column:
+def _raw_entries(columns: Sequence[str], fields: Sequence[str]) -> Column:
     """Array with one entry per compared field, in target order, its values as they are.
 
     One parsed text: hundreds of Column calls would take longer to make than the query to plan.
     """
     compared = [f for f in MARC_TARGET if f != "PRODUCT" and f in fields]
-    return F.expr("array(" + ", ".join([*first, *(
+    return F.expr("array(" + ", ".join(
         f"named_struct('pos', {i}, 'source_field', '{f}', 'source_value', {_raw_source(f, columns)}, 'target_value', t.`{f}`)"
-        for i, f in enumerate(compared))]) + ")")
+        for i, f in enumerate(compared)) + ")")
 
 
 def _worth_comparing(x: Column) -> Column:
-    """Text that differs, or a known gap: few entries get as far as the comparison of values."""
-    return ~x["source_value"].eqNullSafe(x["target_value"]) | gap_note(x["source_field"]).isNotNull()
+    """Text that differs, NULL being empty, or a known gap: few entries get as far as the comparison of values."""
+    empty = F.lit("")
+    return (F.coalesce(x["source_value"], empty) != F.coalesce(x["target_value"], empty)) | gap_note(x["source_field"]).isNotNull()
 
 
 def changed_fields(columns: Sequence[str], fields: Sequence[str] = MARC_TARGET) -> Column:
@@ -162,14 +181,15 @@ def _record_id() -> Column:
 def preview_facts(paired: DataFrame, gaps: DataFrame | Sequence[Gap] = KNOWN_GAPS) -> DataFrame:
     """One row per changed field, and one with a NULL field per record.
 
-    The fields of a record are dealt out as rows of plain values; those that differ as text, a few of each
-    record, meet the one comparison of the plan.
+    The fields of a record that differ as text, a few of each record, are dealt out as rows and meet the one
+    comparison of the plan there. An outer explode: for an inner one the optimizer would infer a filter on the
+    array and copy its whole defining expression into it.
     """
     nothing = "cast(NULL AS STRING)"
     record = f"named_struct('pos', -1, 'source_field', {nothing}, 'source_value', {nothing}, 'target_value', {nothing})"
     rows = with_gaps(paired, gaps).select(
-        _record_id(), "_gaps", F.explode(_raw_entries(source_fields(paired), MARC_TARGET, [record])).alias("x"))
-    rows = rows.filter(F.col("x.source_field").isNull() | _worth_comparing(F.col("x")))
+        _record_id(), "_gaps", F.explode_outer(F.concat(
+            F.expr(f"array({record})"), F.filter(_raw_entries(source_fields(paired), MARC_TARGET), _worth_comparing))).alias("x"))
     x = F.struct(F.col("x.source_field"), blank_to_null(F.col("x.source_value")).alias("source_value"),
                  blank_to_null(F.col("x.target_value")).alias("target_value"))
     rows = rows.select("record_id", "_gaps", x.alias("x"))
