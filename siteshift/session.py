@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import uuid
 
@@ -23,6 +24,8 @@ TUNING = {
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in TUNING.items():
         spark.conf.set(key, value)
+    # Python workers find this package where it lies
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     return spark
 
 

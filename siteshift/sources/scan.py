@@ -1,21 +1,22 @@
 """Landing-folder sources and sinks: all-text scans of extract files.
 
-An *extract* is one entry of a landing folder: a file, or a folder of part files that share a
-header. Headers are read per extract (first record only); data is read by Spark with an explicit
-all-text schema, once per distinct header.
+An *extract* is one entry of a landing folder: a file, or a folder of part files. Every delimited
+file begins with its header; all files of a family are one scan, whatever headers they have.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+import csv
+import io
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteshift.layouts import ALIASES, NA_TOKENS, REQUIRED
-from siteshift.sources.normalize import ROW_ID, normalize_extract
+from siteshift.sources import records
+from siteshift.sources.normalize import ROW_ID, normalize_extract, resolve_header
 
 
 class ExtractNotFound(FileNotFoundError):
@@ -80,78 +81,128 @@ def dedup_header(header: Iterable[str]) -> list[str]:
     return out
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV extract, repeated names resolved; a name may hold a quoted line break."""
-    lines = spark.read.csv(path, escape='"', multiLine=True, emptyValue="")
-    cells = lines.select(*[c for c in lines.columns if c.startswith("_c")])  # not the names of folders
-    first = cells.first() if cells.columns else None
-    return [] if first is None else dedup_header([(c or "").lstrip("\ufeff") for c in first])
+def header_cells(record: str) -> list[str]:
+    """Column names of a header record, repeated names resolved; a name may hold a quoted line break."""
+    cells = next(csv.reader(io.StringIO(record.removeprefix("\ufeff"), newline="")), [])
+    return dedup_header(cells)
 
 
 def na_to_null(c: Column) -> Column:
     return F.when(~c.isin(*NA_TOKENS), c)
 
 
-def ingest_row_id() -> Column:
-    """Position of a row in its extract: file, block, then order within the block."""
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    ).alias(ROW_ID)
+def parsed_cells(rows: DataFrame, width: Column, most: int) -> DataFrame:
+    """``rows`` with ``_cells``: the cells c0, c1 ... of each record, NULL beyond its last one.
 
+    A record with more cells than its header's ``width`` fails the read, as nothing tells what the rest means. A
+    shorter one is filled up with empty cells first, so that the parser sees one width.
+    """
+    record = F.col("record")
+    bare = F.when(record.contains('"'), F.regexp_replace(record, '"(?:[^"]|"")*+(?:"|$)', "")).otherwise(record)
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    longer = F.raise_error(F.concat(F.lit("a line has more than "), width.cast("string"), F.lit(" cells: "), record)).cast("string")
+    full = F.when(commas >= width, longer).otherwise(F.concat(record, F.repeat(F.lit(","), F.lit(most - 1) - commas)))
+    schema = ", ".join(f"c{i} STRING" for i in range(most))
+    return rows.withColumn("_cells", F.from_csv(full, schema, {"escape": '"', "emptyValue": "", "maxColumns": str(max(20480, most + 1))}))
+
+
+Resolver = Callable[[Sequence[str]], Sequence[tuple[int, str]]]
 
-_RECORD = "_record"  # text of a record whose cells are not as many as the header's
 
+def _as_they_are(header: Sequence[str]) -> list[tuple[int, str]]:
+    return list(enumerate(header))
 
-def read_csv(spark: SparkSession, paths: Sequence[str], header: Sequence[str], row_id: bool = False,
-             multi_line: bool = True) -> DataFrame:
-    """CSV extracts of one header as nullable text columns, missing-value texts as NULL.
 
-    A line with fewer cells ends in NULLs; one with more fails the read, as nothing tells what the rest means.
-    Cells may hold line breaks. ``multi_line=False`` promises that none does and lets Spark split large files.
+def read_csv(spark: SparkSession, paths: Sequence[str], row_id: bool = False, resolve: Resolver = _as_they_are) -> DataFrame:
+    """CSV extracts of any headers as nullable text columns in first-seen order, missing-value texts as NULL: one scan.
+
+    Every file tells its header; ``resolve`` says which of its positions become which columns. A header is a row of
+    positions by column, joined to the records by the number of their header, so the plan does not grow with the
+    headers. Cells may hold line breaks, and files are split for all that.
     """
-    width = len(header)
-    positional = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(_RECORD, T.StringType())])
-    raw = spark.read.schema(positional).option("columnPruning", False).csv(
-        list(paths), header=True, enforceSchema=True, escape='"', multiLine=multi_line, emptyValue="", columnNameOfCorruptRecord=_RECORD)
-    bare = F.regexp_replace(_RECORD, '"(?:[^"]|"")*+"', "")
-    longer = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= width
-    more = F.raise_error(F.concat(F.lit(f"a line has more than {width} cells: "), _RECORD, F.coalesce("c0", F.lit("")))).cast("boolean")
-    whole = raw.filter(F.when(F.col(_RECORD).isNull(), True).when(longer, more).otherwise(True))
-    cells = [na_to_null(F.col(f"c{i}")).alias(name) for i, name in enumerate(header)]
-    return whole.select(*cells, *([ingest_row_id()] if row_id else []))
-
-
-def scan_extract(spark: SparkSession, path: str, row_id: bool = False, multi_line: bool = True) -> DataFrame:
-    """One extract, all text. Parquet extracts are cast to text."""
-    if path.lower().endswith(".parquet"):
-        raw = spark.read.parquet(path)
-        cells = [F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns]
-        return raw.select(*cells, *([ingest_row_id()] if row_id else []))
-    return read_csv(spark, [path], read_header(spark, path), row_id, multi_line)
-
-
-def union_extracts(spark: SparkSession, paths: Sequence[str], row_id: bool = False, multi_line: bool = True) -> DataFrame:
+    layout = records.layout_of(spark, paths)
+    texts: dict[str, int] = {}
+    header = {file: texts.setdefault(layout.first[file], len(texts)) for file in layout.files if file in layout.first}
+    names = [header_cells(text) for text in texts]
+    kept = [dict((name, position) for position, name in reversed(list(resolve(cells)))) for cells in names]
+    ordered = [[name for _, name in resolve(cells)] for cells in names]
+    columns = list(dict.fromkeys(name for some in ordered for name in some))
+    if not columns:
+        return spark.createDataFrame([], T.StructType([]))
+    most = max(len(cells) for cells in names)
+    rows = records.records(spark, paths, layout, header)
+    if len(names) == 1:
+        found = parsed_cells(rows, F.lit(most), most)
+        cells = [F.col(f"_cells.c{kept[0][name]}") for name in columns]
+    else:
+        # as many rows as distinct headers, which were all read here
+        placed = spark.createDataFrame([(k, len(names[k]), [kept[k].get(name) for name in columns]) for k in range(len(names))],
+                                       "header int, _width int, _at array<int>")
+        found = parsed_cells(rows.join(F.broadcast(placed), "header"), F.col("_width"), most)
+        found = found.select(records.NUMBER, "_at", F.array(*[F.col(f"_cells.c{i}") for i in range(most)]).alias("_cells"))
+        cells = [F.get("_cells", F.get("_at", F.lit(j))) for j in range(len(columns))]
+    return found.select(*[na_to_null(c).alias(name) for c, name in zip(cells, columns)],
+                        *([F.col(records.NUMBER).alias(ROW_ID)] if row_id else []))
+
+
+def read_parquet(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
+    """A Parquet extract as text; row ids are gapless in the order of its files and of the rows in them."""
+    raw = spark.read.parquet(path)
+    cells = [F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns]
+    if not row_id:
+        return raw.select(*cells)
+    file = F.col("_metadata.file_path")
+    counts = {r["file"]: r["n"] for r in raw.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    first, before = 0, []
+    for name in sorted(counts):
+        before.append((name, first))
+        first += counts[name]
+    numbered = raw.select(*cells, file.alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    told = spark.createDataFrame(before, "_file string, _before long")  # as many rows as files
+    return numbered.join(F.broadcast(told), "_file").select(*[f"`{c}`" for c in raw.columns], (F.col("_before") + F.col("_index")).alias(ROW_ID))
+
+
+def scan_extract(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
+    """One extract, all text."""
+    return read_parquet(spark, path, row_id) if path.lower().endswith(".parquet") else read_csv(spark, [path], row_id)
+
+
+def union_extracts(spark: SparkSession, paths: Sequence[str], row_id: bool = False, resolve: Resolver = _as_they_are) -> DataFrame:
     """All extracts of a family, columns in first-seen order, absent columns NULL.
 
-    Extracts that share a header are one scan. No path gives an empty table.
+    Delimited extracts are one scan whatever their headers. No path gives an empty table. Row ids number the
+    delimited extracts, then each stored one, in the order of the paths.
     """
     stored = [p for p in paths if p.lower().endswith(".parquet")]
     delimited = [p for p in paths if p not in stored]
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(16) as jobs:  # a header is one small job; many run at a time
-        for path, header in zip(delimited, jobs.map(lambda p: tuple(read_header(spark, p)), delimited)):
-            by_header.setdefault(header, []).append(path)
-    frames = [read_csv(spark, group, header, row_id, multi_line) for header, group in by_header.items()]
-    frames += [scan_extract(spark, path, row_id) for path in stored]
+    frames = [read_csv(spark, delimited, row_id, resolve)] if delimited else []
+    for path in stored:
+        one = read_parquet(spark, path, row_id)
+        kept = resolve([c for c in one.columns if c != ROW_ID])
+        frames.append(one.select(*[F.col(f"`{one.columns[i]}`").alias(name) for i, name in kept], *([ROW_ID] if row_id else [])))
+    frames = [f for f in frames if f.columns]
     if not frames:
         return spark.createDataFrame([], T.StructType([]))
+    if row_id and len(frames) > 1:
+        first = 0
+        for k, frame in enumerate(frames):
+            frames[k] = frame.withColumn(ROW_ID, F.col(ROW_ID) + first)
+            first += frame.count() if k + 1 < len(frames) else 0
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
 
 
+def union_normalized(spark: SparkSession, paths: Sequence[str], table: str, required_only: bool = True, row_id: bool = True) -> DataFrame:
+    """Extracts of one table under any headers - labels, aliases, technical names - as its normalised rows, in one scan."""
+    def resolve(header: Sequence[str]) -> list[tuple[int, str]]:
+        kept, _ = resolve_header(header, table)
+        return [(i, name) for i, name in kept if not required_only or name in REQUIRED[table]]
+
+    return normalize_extract(union_extracts(spark, paths, row_id, resolve), table, required_only)
+
+
 def empty_table(spark: SparkSession, table: str) -> DataFrame:
     """A table without rows, in the layout the transformation reads; of other tables the material alone."""
     columns = REQUIRED.get(table, ["MATNR"])
