@@ -177,7 +177,7 @@ MBEW_RULES = {
 }
 
 
-def context_ctes(every_line: bool = False) -> list[tuple[str, str]]:
+def context_ctes(every_line: bool = True) -> list[tuple[str, str]]:
     return ctes(every_line) + [
         ("derived", DERIVED),
         ("ea", EA),
@@ -199,7 +199,7 @@ def fields_sql(sheet: str, fields: list[str] | None = None) -> str:
     return f"SELECT DISTINCT {', '.join(f'{rules[f]} AS {f}' for f in fields)} FROM {sheet.lower()}_d"
 
 
-def transform_sql(sheet: str, fields: list[str] | None = None, every_line: bool = False) -> str:
+def transform_sql(sheet: str, fields: list[str] | None = None, every_line: bool = True) -> str:
     return with_sql(context_ctes(every_line), fields_sql(sheet, fields))
 
 

@@ -66,7 +66,7 @@ def _quote(value: str) -> str:
 _REVERSE = """CASE WHEN {w} IN ('US30', 'US27') THEN '1021' WHEN {w} IN ('US31', 'US28') THEN '1028'
   WHEN {w} IN ('US33', 'US32') THEN '1030' WHEN {w} = 'US29' THEN '1025' WHEN {w} = 'US26' THEN '1000' WHEN {w} = 'CA02' THEN '1029' END"""
 _PAIRED = f"""
-SELECT {', '.join(f't.{c} AS t_{c}' for c in MARC_TARGET)}, s.WERKS AS s_WERKS,
+SELECT row_number() OVER () AS pair_no, {', '.join(f't.{c} AS t_{c}' for c in MARC_TARGET)}, s.WERKS AS s_WERKS,
        {', '.join(f's.{c} AS s_{c}' for c in MARC_TARGET if c in REQUIRED['MARC'] and c != 'WERKS')}
 FROM expected t JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY MATNR, WERKS ORDER BY _row_id) AS k FROM marc) n WHERE k = 1) s
@@ -97,11 +97,11 @@ def changes_sql() -> str:
     """Changed or flagged fields of every pair; flagged unchanged ones come after all changes."""
     entries = ", ".join(_entry_sql(i, f) for i, f in enumerate(f for f in MARC_TARGET if f != "PRODUCT"))
     same = _SAME.format(a="u.source_value", b="u.target_value")
-    return f"""SELECT record_id, CASE WHEN {same} THEN 1000 + u.gap ELSE u.pos END AS pos, u.source_field AS source_field,
+    return f"""SELECT pair_no, record_id, CASE WHEN {same} THEN 1000 + u.gap ELSE u.pos END AS pos, u.source_field AS source_field,
   u.source_value AS source_value, u.rule_applied AS rule_applied, u.target_value AS target_value,
   CASE WHEN u.note IS NULL THEN 'pass' ELSE 'warning' END AS validation_status, coalesce(u.note, '') AS notes,
   u.rule_label AS rule_label
-FROM (SELECT t_PRODUCT || '-' || t_WERKS AS record_id, unnest([{entries}]) AS u FROM paired) e
+FROM (SELECT pair_no, t_PRODUCT || '-' || t_WERKS AS record_id, unnest([{entries}]) AS u FROM paired) e
 WHERE NOT {same} OR u.note IS NOT NULL"""
 
 
@@ -164,7 +164,7 @@ register("preview_records",
          sql("""SELECT t_PRODUCT || '-' || t_WERKS AS record_id, t_PRODUCT AS matnr, s_WERKS AS ecc_plant, t_WERKS AS s4_plant,
                   CASE WHEN bool_or(validation_status = 'warning') THEN 'warning' ELSE 'success' END AS overall_status,
                   string_agg(source_field, ',' ORDER BY pos) AS fields
-                FROM paired p JOIN changes c ON c.record_id = t_PRODUCT || '-' || t_WERKS GROUP BY ALL"""))
+                FROM paired p JOIN changes c ON c.pair_no = p.pair_no GROUP BY p.pair_no, t_PRODUCT, t_WERKS, s_WERKS"""))
 register("rule_counts", lambda spark, sf: explain.rule_counts(changes(spark, sf)), sql(
     "SELECT rule_label, count(*) AS applied FROM changes GROUP BY rule_label ORDER BY applied DESC, rule_label"))
 register("preview_totals",
@@ -206,10 +206,10 @@ _TOLD = ", ".join(_quote(f) for f in explain.SUMMARY_FIELDS)
 register("preview_summary_text", lambda spark, sf: rows(spark, sf).select("record_id", "rules"), sql(
     f"""SELECT r.record_id, 'Plant ' || s_WERKS || '→' || t_WERKS || coalesce('; ' || words, '') AS rules
         FROM (SELECT *, t_PRODUCT || '-' || t_WERKS AS record_id FROM paired) r LEFT JOIN (
-          SELECT record_id, string_agg(source_field || ' ' || coalesce(source_value, 'blank') || '→' || coalesce(target_value, 'blank'),
+          SELECT pair_no, string_agg(source_field || ' ' || coalesce(source_value, 'blank') || '→' || coalesce(target_value, 'blank'),
                                        '; ' ORDER BY pos) AS words
-          FROM changes WHERE source_field IN ({_TOLD}) AND source_value IS DISTINCT FROM target_value GROUP BY record_id) w
-        ON r.record_id = w.record_id"""))
+          FROM changes WHERE source_field IN ({_TOLD}) AND source_value IS DISTINCT FROM target_value GROUP BY pair_no) w
+        ON r.pair_no = w.pair_no"""))
 _FLAGGED = " OR ".join(f"({_note(f)}) IS NOT NULL" for f in PAIR_FIELDS)
 register("preview_record_status", lambda spark, sf: rows(spark, sf).select("record_id", "status"), sql(
     f"""SELECT t_PRODUCT || '-' || t_WERKS AS record_id, CASE WHEN {_FLAGGED} THEN 'warning' ELSE 'success' END AS status FROM paired"""))

@@ -1,9 +1,9 @@
 """Source extracts and target tables derived from the driver tables.
 
 Each raw extract is a SELECT both engines understand. Spark runs it and normalises the result
-with the engine; the oracle normalises it with the hand-written SQL below. The plant-data
-extract keeps one line item per (part, plant): Spark takes it with a min aggregate (map-side
-partials, no group is sorted), the oracle with a window.
+with the engine; the oracle normalises it with the hand-written SQL below. Every line item is a row
+of plant data, so its keys repeat, and so do keys of the reference tables; ``every_line=False`` keeps
+the first line item of each (part, plant) and single reference rows, as an even case to time.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ LINE_ORDER = "l_orderkey l_linenumber l_suppkey l_extendedprice".split()
 LINE_REST = "l_quantity l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 ROW_ID_OF_LINE = (
     "lpad(CAST(l_orderkey AS STRING), 12, '0') || lpad(CAST(l_linenumber AS STRING), 3, '0') || "
-    "lpad(CAST(l_partkey AS STRING), 12, '0') || lpad(CAST(l_suppkey AS STRING), 9, '0')"
+    "lpad(CAST(l_partkey AS STRING), 12, '0') || lpad(CAST(l_suppkey AS STRING), 9, '0') || "
+    "lpad(CAST(CAST(l_quantity AS BIGINT) AS STRING), 6, '0')"
 )
 
 RAW_MARC = f"""
@@ -158,9 +159,8 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("l_partkey", "plant").agg(first).select("l_partkey", "plant", "first.*")
 
 
-def raw_extracts(spark: SparkSession, sf_dir: str, every_line: bool = False) -> dict[str, DataFrame]:
-    """Raw source extracts. ``every_line`` keeps all line items, so the keys of plant data repeat,
-    and so do keys of the reference tables."""
+def raw_extracts(spark: SparkSession, sf_dir: str, every_line: bool = True) -> dict[str, DataFrame]:
+    """Raw source extracts."""
     part = read(spark, sf_dir, "part")
     picked = lines(spark, sf_dir) if every_line else first_lines(spark, sf_dir)
     return {
@@ -173,7 +173,7 @@ def raw_extracts(spark: SparkSession, sf_dir: str, every_line: bool = False) ->
 _PLANS: dict[tuple, dict[str, DataFrame]] = {}
 
 
-def source_tables(spark: SparkSession, sf_dir: str, every_line: bool = False) -> dict[str, DataFrame]:
+def source_tables(spark: SparkSession, sf_dir: str, every_line: bool = True) -> dict[str, DataFrame]:
     """Normalised source tables, as the transformation reads them. The lazy plans (not their
     data) are kept per session, so building a query does not resolve the extracts again."""
     slot = (spark.sparkContext.applicationId, id(spark), sf_dir, every_line)
@@ -257,7 +257,7 @@ WHERE rn = 1
 """
 
 
-def ctes(every_line: bool = False) -> list[tuple[str, str]]:
+def ctes(every_line: bool = True) -> list[tuple[str, str]]:
     """Named SQL blocks of the normalised source tables."""
     return [
         ("lines", _LINES),
@@ -283,5 +283,5 @@ def with_sql(blocks: list[tuple[str, str]], final: str) -> str:
     return "WITH " + ",\n".join(named) + "\n" + final
 
 
-def source_sql(final: str, every_line: bool = False) -> str:
+def source_sql(final: str, every_line: bool = True) -> str:
     return with_sql(ctes(every_line), final)

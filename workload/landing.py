@@ -92,7 +92,7 @@ def references(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _write_sorted(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    _csv(raw_extracts(spark, sf_dir)["MARC"].select(*CELLS).orderBy("MATNR", "WERKS"), f"{folder}/sorted.csv")
+    _csv(raw_extracts(spark, sf_dir)["MARC"].select(*CELLS).orderBy(*CELLS), f"{folder}/sorted.csv")
 
 
 _FIRST = "S_MARC#FreeText - part1.csv"
@@ -175,7 +175,7 @@ register("load_reference_optional",
 register("preview_table",
          lambda spark, sf: scan.preview_table(scan.scan_extract(
              spark, f"{written(spark, sf, 'sorted', _write_sorted)}/sorted.csv", row_id=True), 50)[0],
-         source_sql(f"SELECT {', '.join(CELLS)} FROM raw_marc ORDER BY MATNR, WERKS LIMIT 50"))
+         source_sql(f"SELECT {', '.join(CELLS)} FROM raw_marc ORDER BY {', '.join(f'{c} NULLS FIRST' for c in CELLS)} LIMIT 50"))
 register("preview_table_counts",
          lambda spark, sf: scan.preview_table(scan.scan_extract(
              spark, f"{written(spark, sf, 'sorted', _write_sorted)}/sorted.csv", row_id=True), 50)[1],

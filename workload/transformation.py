@@ -9,8 +9,8 @@ from siteshift.functions.scalars import null_safe_key
 from siteshift.layouts import MARC_BLANK, MARC_PASS, MBEW_PASS, ROUTES
 from siteshift.operators import explain, lookups, marc, mbew, plants
 from siteshift.plans import transform as t
-from workload.expected_sql import MARC_RULES, MBEW_RULES, transform_sql
-from workload.extracts import lines, raw_extracts, source_sql, source_tables
+from workload.expected_sql import MARC_RULES, MBEW_RULES, context_ctes, fields_sql, transform_sql
+from workload.extracts import lines, raw_extracts, source_sql, source_tables, with_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -104,12 +104,12 @@ register("derive_plant_duplicates",
          lambda spark, sf: (lambda tb: plants.derived_plants(
              plants.active_source_rows(tb["MARC"], "WERKS", [r for r in ROUTES if r.kind == "split"])
              .join(plants.eligible_materials(tb["MARA"]).select("MATNR").distinct(), "MATNR", "left_semi")))(
-             source_tables(spark, sf, every_line=True)),
-         transform_sql("MARC", every_line=True).rsplit("SELECT DISTINCT", 1)[0]
+             source_tables(spark, sf)),
+         transform_sql("MARC").rsplit("SELECT DISTINCT", 1)[0]
          + "SELECT MATNR, src AS source_plant, dw AS derived_plant FROM derived")
 register("plant_reverse_map",
          lambda spark, sf: t.transform_table("MARC", source_tables(spark, sf)).select(
-             "PRODUCT", "WERKS", plants.lookup(F.col("WERKS"), plants.target_to_source()).alias("source_plant")),
+             "PRODUCT", "WERKS", plants.lookup(F.col("WERKS"), plants.target_to_source()).alias("source_plant")).distinct(),
          transform_sql("MARC").rsplit("SELECT DISTINCT", 1)[0]
          + """SELECT DISTINCT MATNR AS PRODUCT, dw AS WERKS, CASE WHEN dw IN ('US30', 'US27') THEN '1021'
               WHEN dw IN ('US31', 'US28') THEN '1028' WHEN dw IN ('US33', 'US32') THEN '1030' WHEN dw = 'US29' THEN '1025'
@@ -125,7 +125,7 @@ register("join_marc_eligible",
 
 
 def _base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = source_tables(spark, sf_dir, every_line=True)
+    tables = source_tables(spark, sf_dir)
     routes = plants.routes_of(["1021", "1028", "1030"])
     rows = t.keyed_rows(tables["MARC"], "WERKS", routes)
     keys = t.target_keys("MARC", rows, tables["MARC"], routes)
@@ -137,7 +137,7 @@ register("join_base_rows", _base_rows, source_sql(
           SELECT DISTINCT MATNR, WERKS, derived FROM (
             {_SIDES.format(side=_X_SIDE)} WHERE LVORM IS NULL UNION ALL {_SIDES.format(side=_Y_SIDE)} WHERE LVORM IS NULL) s
           WHERE derived <> WERKS) b
-        ON r.MATNR IS NOT DISTINCT FROM b.MATNR AND r.WERKS = b.WERKS WHERE r.LVORM IS NULL""", every_line=True))
+        ON r.MATNR IS NOT DISTINCT FROM b.MATNR AND r.WERKS = b.WERKS WHERE r.LVORM IS NULL"""))
 register("join_mara_context",
          lambda spark, sf: (lambda tb: tb["MARC"].select(*KEY).join(
              tb["MARA"].select("MATNR", "MTART", "MEINS", "PRDHA", F.col("LVORM").alias("mara_lvorm")), "MATNR", "left"))(
@@ -198,11 +198,11 @@ register("fn_lot_rule", _fields("MARC", ["PRODUCT", "WERKS", "BSTMI", "BSTMA", "
 register("transform_marc", lambda spark, sf: t.transform_table("MARC", source_tables(spark, sf)), transform_sql("MARC"))
 register("transform_mbew", lambda spark, sf: t.transform_table("MBEW", source_tables(spark, sf)), transform_sql("MBEW"))
 register("transform_marc_repeated_keys",
-         lambda spark, sf: t.transform_table("MARC", source_tables(spark, sf, every_line=True)),
-         transform_sql("MARC", every_line=True))
+         lambda spark, sf: t.transform_table("MARC", source_tables(spark, sf)),
+         transform_sql("MARC"))
 register("transform_mbew_repeated_keys",
-         lambda spark, sf: t.transform_table("MBEW", source_tables(spark, sf, every_line=True)),
-         transform_sql("MBEW", every_line=True))
+         lambda spark, sf: t.transform_table("MBEW", source_tables(spark, sf)),
+         transform_sql("MBEW"))
 register("transform_table",
          lambda spark, sf: t.transform_table("MARC", source_tables(spark, sf), groups=["1025", "1000_1029"]),
          transform_sql("MARC") + " WHERE WERKS IN ('1025', '1000', '1029')")
@@ -213,7 +213,7 @@ register("build_expected", lambda spark, sf: t.build_expected("MBEW", raw_extrac
 register("sort_output",
          lambda spark, sf: t.sort_output(t.transform_table("MARC", source_tables(spark, sf)), "MARC").select(
              "PRODUCT", "WERKS", "MTVFP"),
-         transform_sql("MARC", ["PRODUCT", "WERKS", "MTVFP"]) + " ORDER BY 1, 2")
+         with_sql(context_ctes() + [("expected", fields_sql("MARC"))], "SELECT PRODUCT, WERKS, MTVFP FROM expected ORDER BY 1, 2"))
 
 # --- set operations ----------------------------------------------------------- #
 register("distinct_rows",
