@@ -74,9 +74,10 @@ def with_next(rows: DataFrame, columns: list[str], prepare=lambda df: df) -> Dat
     Rows are dealt into cells of adjacent doc_ids: bounds are quantiles, and between two of them cells lie evenly.
     The first row of a cell is also dealt, last, into the cell before it, so wide rows are shuffled once and
     successors are looked up within cells. There are at most MOST_CELLS cells besides the quantiles, and only
-    their first rows' keys are broadcast.
+    their first rows' keys are broadcast. Cells are told by doubles and descending order by the inverted bits, so ids
+    at either end of the range of longs lie right; null ids come last.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     known = rows.select(key.alias("k")).agg(F.count("*").alias("n"), F.percentile_approx("k", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q")).first()
     bounds = sorted(set(known["q"] or [0]))
     parts = max(1, min(known["n"] // CELL_ROWS, MOST_CELLS) // len(bounds))
@@ -87,12 +88,12 @@ def with_next(rows: DataFrame, columns: list[str], prepare=lambda df: df) -> Dat
             mid = (lo + hi) // 2
             return F.when(key >= bounds[mid], cell(mid, hi)).otherwise(cell(lo, mid))
         if hi < len(bounds):
-            within = F.floor((key - bounds[lo]).cast("double") / max(1, bounds[hi] - bounds[lo]) * parts)
+            within = F.floor((key.cast("double") - float(bounds[lo])) / float(max(1, bounds[hi] - bounds[lo])) * parts)
             return F.lit(lo * (parts + 1)) + F.greatest(F.lit(0), F.least(within, F.lit(parts - 1)))
         return F.lit(lo * (parts + 1)).cast("long")
 
     dealt = rows.withColumn("cell", cell(0, len(bounds)).cast("long")).withColumn("tie", F.xxhash64("text"))
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), (-F.col("doc_id")).alias("down"), F.col("tie").alias("tie"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.bitwise_not("doc_id").alias("down"), F.col("tie").alias("tie"))
     heads = dealt.groupBy("cell").agg(F.min(place).alias("head"))
     down = Window.orderBy(F.desc("cell"))  # one row per cell
     heads = heads.select("cell", "head", F.coalesce(F.lag("cell").over(down), F.min("cell").over(Window.partitionBy())).alias("before"))
