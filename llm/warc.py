@@ -33,6 +33,8 @@ from llm import common
 
 #: Bytes of payload after which a writer begins a new archive.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes of archives that a task reads.
+READ_BYTES = 16 << 20
 EPOCH = "2024-01-01T00:00:00Z"
 
 ENTRY = "url_key string, timestamp string, archive string, offset long, length long, page_id long, record_type string, digest string"
@@ -220,7 +222,10 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         if source:
             source.close()
 
-    by_archive = index.select("archive", "offset", "length", "url_key", "range_no", "place").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # index entries are small whatever they point at, so the number of tasks follows the bytes of the archives
+    tasks = -(-(index.agg(F.sum("length").alias("n")).first()["n"] or 1) // READ_BYTES)
+    entries = index.select("archive", "offset", "length", "url_key", "range_no", "place")
+    by_archive = entries.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return by_archive.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, range_no long, place long")
 
 
