@@ -268,7 +268,11 @@ def _join_cell(table: pa.Table) -> pa.Table:
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: every pair of words of vocabulary(word, n) that one edit parts, once; words hold U+0000 to U+00FF."""
-    dealt = vocabulary.select("word", "n").mapInArrow(_dealer(cut_trees(vocabulary)), "size long, cell long, kind int, word string, n long")
+    trees = cut_trees(vocabulary)
+    dealt = vocabulary.select("word", "n").mapInArrow(_dealer(trees), "size long, cell long, kind int, word string, n long")
+    # a cell is much work for its bytes, so the number of tasks follows the cells
+    cells = sum(int((t.child < 0).sum()) for t in trees.values())
+    dealt = dealt.repartition(max(1, cells), "size", "cell")
     return dealt.groupBy("size", "cell").applyInArrow(_join_cell, "a string, n_a long, b string, n_b long")
 
 
