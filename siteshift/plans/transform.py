@@ -112,12 +112,13 @@ def joined_rows(sheet: str, tables: Mapping[str, DataFrame | None],
     return attach_context(rows, key_context(sheet, rows, tables, routes))
 
 
-def target_columns(sheet: str) -> list[Column]:
-    return marc.target_columns() if sheet == "MARC" else mbew.target_columns()
+def target_columns(sheet: str, strict_dates: bool = False) -> list[Column]:
+    """Strict dates concern valuation data only: month first, and nothing else."""
+    return marc.target_columns() if sheet == "MARC" else mbew.target_columns(strict_dates)
 
 
 def transform_table(sheet: str, tables: Mapping[str, DataFrame | None],
-                    groups: Sequence[str] | None = None) -> DataFrame:
+                    groups: Sequence[str] | None = None, strict_dates: bool = False) -> DataFrame:
     """Expected target table of one sheet, all plants or the given plant groups, as a set.
 
     ``tables`` holds normalised MARC, MBEW, MARA, MARM and optionally EKGRP.
@@ -125,7 +126,7 @@ def transform_table(sheet: str, tables: Mapping[str, DataFrame | None],
     routes = routes_of(groups)
     rows = keyed_rows(tables[sheet], PLANT_COLUMN[sheet], routes)
     ctx = key_context(sheet, rows, tables, routes)
-    columns = target_columns(sheet)
+    columns = target_columns(sheet, strict_dates)
     single = attach_context(rows, ctx.filter("_single")).select(*columns)
     repeated = attach_context(rows, ctx.filter("NOT _single")).select(*columns).distinct()
     return single.unionByName(repeated)
@@ -137,8 +138,9 @@ def sort_output(expected: DataFrame, sheet: str) -> DataFrame:
 
 
 def build_expected(sheet: str, extracts: Mapping[str, DataFrame | None],
-                   groups: Sequence[str] | None = None) -> DataFrame:
-    """Raw extracts (labelled or technical headers) to the expected target table."""
+                   groups: Sequence[str] | None = None, strict_dates: bool = False) -> DataFrame:
+    """Raw extracts (labelled or technical headers) to the expected target table; tables normalised before go to
+    ``transform_table``, as a second normalisation would make NULL of a material of zeros alone."""
     if sheet not in PLANT_COLUMN:
         raise ValueError(f"unsupported sheet {sheet!r}")
     needed = ["MARA", "MARM", "MARC"] + (["MBEW"] if sheet == "MBEW" else [])
@@ -146,4 +148,4 @@ def build_expected(sheet: str, extracts: Mapping[str, DataFrame | None],
     if missing:
         raise ValueError(f"cannot transform {sheet} without {', '.join(missing)}")
     tables = {t: normalize_extract(df, t, required_only=True) for t, df in extracts.items() if df is not None}
-    return transform_table(sheet, tables, groups)
+    return transform_table(sheet, tables, groups, strict_dates)

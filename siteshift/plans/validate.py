@@ -18,28 +18,33 @@ def _rows(facts: DataFrame, rules: Sequence[tuple[int, Column]], **numbers: Colu
         "entry.position", "entry.rule.*", *numbers)
 
 
-def _quality_rows(sheet: str, actual: DataFrame, mapping: Sequence[FieldMapping]) -> DataFrame:
+def _quality_rows(sheet: str, actual: DataFrame, mapping: Sequence[FieldMapping], quality: DataFrame | None = None) -> DataFrame:
     rules = [
         r.field_coverage_rule(actual.columns, mapping),
         r.mandatory_rule(actual.columns, mapping),
         r.type_length_rule(sheet, actual.columns, mapping),
     ]
     unknown = F.lit(None).cast("bigint")
-    return _rows(r.field_quality(sheet, actual, mapping), list(enumerate(rules, 1)),
+    facts = r.field_quality(sheet, actual, mapping) if quality is None else quality
+    return _rows(facts, list(enumerate(rules, 1)),
                  s4_row_count=F.col("actual_rows"), records_validated=unknown)
 
 
 def validate_expected_actual(sheet: str, expected: DataFrame, actual: DataFrame,
                              mapping: Sequence[FieldMapping] | None = None, scope: str = "common_keys",
-                             tolerance_pct: float = 0.0, disabled: Collection[str] = ()) -> DataFrame:
-    """One row per rule: expected target (transformed source) against the actual one."""
+                             tolerance_pct: float = 0.0, disabled: Collection[str] = (),
+                             quality: DataFrame | None = None) -> DataFrame:
+    """One row per rule: expected target (transformed source) against the actual one.
+
+    ``quality``: the field counts of the actual table where they are known already.
+    """
     mapping = DEFAULT_MAPPING[sheet] if mapping is None else mapping
     keyed = SheetMapping(sheet, mapping, expected.columns, actual.columns).key_parts is not None
     facts = r.key_balance(sheet, expected, actual, mapping) if keyed else r.row_balance(expected, actual)
     counted = _rows(facts, [(4, r.count_rule(scope, tolerance_pct, keyed))],
                     s4_row_count=F.col("n_actual"),
                     records_validated=F.col("common_keys") if keyed else F.lit(None).cast("bigint"))
-    rules = _quality_rows(sheet, actual, mapping).unionByName(counted)
+    rules = _quality_rows(sheet, actual, mapping, quality).unionByName(counted)
     return rules.filter(~F.col("rule_id").isin(*disabled)) if disabled else rules
 
 
@@ -62,15 +67,20 @@ def validate_plant(sheet: str, expected: DataFrame, actual: DataFrame, plant: st
 def report(sheet: str, rules: DataFrame, source: DataFrame,
            mapping: Sequence[FieldMapping] | None = None) -> DataFrame:
     """The rules of one validation as a single report row, with the raw source row count."""
-    mapping = DEFAULT_MAPPING[sheet] if mapping is None else mapping
     columns = ["position", "rule_id", "name", "status", "summary", "details", "s4_row_count", "records_validated"]
     counted = source.agg(F.count(F.lit(1)).alias("ecc_row_count"))
-    entry = F.struct("position", "rule_id", "name", "status", "summary", "details")
     rows = rules.select(*columns).unionByName(counted, allowMissingColumns=True)
+    return report_row(sheet, rows, F.max("ecc_row_count"), mapping)
+
+
+def report_row(sheet: str, rows: DataFrame, source_rows: Column, mapping: Sequence[FieldMapping] | None = None) -> DataFrame:
+    """One report row of rules; ``source_rows`` is a constant or an aggregate over them."""
+    mapping = DEFAULT_MAPPING[sheet] if mapping is None else mapping
+    entry = F.struct("position", "rule_id", "name", "status", "summary", "details")
     return rows.agg(
         F.lit(sheet).alias("sheet"),
         F.array(*[F.lit(k) for k in SheetMapping(sheet, mapping).key_labels]).alias("key_fields"),
-        F.max("ecc_row_count").alias("ecc_row_count"),
+        source_rows.alias("ecc_row_count"),
         F.max("s4_row_count").alias("s4_row_count"),
         F.max("records_validated").alias("records_validated"),
         r.status_of(F.max(r.severity(F.col("status")))).alias("overall_status"),

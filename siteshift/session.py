@@ -29,6 +29,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _dropped(folder: str) -> None:
+    from pyarrow import fs
+
+    try:
+        system, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        system.delete_dir(path)
+    except OSError:  # gone already
+        pass
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared folder; what lies there goes when this process ends."""
+    folder = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_dropped, folder)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 

@@ -6,18 +6,17 @@ queries scan them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteshift.layouts import NA_TOKENS, SOURCE_FAMILIES, TARGET_FAMILIES
+from siteshift.layouts import MARC_LABELS, NA_TOKENS, SOURCE_FAMILIES, TARGET_FAMILIES
+from siteshift.plans.latest import validate_latest
 from siteshift.plans.validate import validate_direct
-from siteshift.session import shared_folder
+from siteshift.session import new_folder
 from siteshift.sources import scan
 from workload.expected_sql import target_ctes
 from workload.extracts import actual_table, raw_extracts, source_sql, with_sql
-from workload.reconciliation import coverage_sql, direct_count_sql, flat, mandatory_sql, type_sql
+from workload.reconciliation import by_plant_rows, by_plant_sql, coverage_sql, direct_count_sql, flat, mandatory_sql, report_sql, type_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -34,7 +33,7 @@ def written(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     """Folder of a landing set, written once per session."""
     slot = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     if slot not in _WRITTEN:
-        folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+        folder = new_folder(spark, "landing")
         write(spark, sf_dir, folder)
         _WRITTEN[slot] = folder
     return _WRITTEN[slot]
@@ -129,7 +128,7 @@ def _write_sources(spark: SparkSession, sf_dir: str, folder: str) -> None:
 
 def _summary(side: str, landing_set, prefixes: dict):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root = f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}"
+        root = new_folder(spark, "fetched")
         found = scan.fetch_summary(spark, landing_set(spark, sf_dir), root, prefixes, side)
         return found.withColumn("saved_path", F.replace("saved_path", F.lit(root), F.lit("")))
 
@@ -151,7 +150,7 @@ register("fetch_summary_target", _summary("S4", families, {**TARGET_FAMILIES, "M
                  UNION ALL SELECT 'MBEW', 1, (SELECT count(*) FROM raw_mbew) UNION ALL SELECT 'MARD', 0, 0) x"""))
 register("sink_combined",
          lambda spark, sf: spark.read.parquet(scan.fetch_families(
-             spark, families(spark, sf), f"{shared_folder(spark)}/combined-{uuid.uuid4().hex}", TARGET_FAMILIES, "S4")["MARC"]),
+             spark, families(spark, sf), new_folder(spark, "combined"), TARGET_FAMILIES, "S4")["MARC"]),
          ORACLE["union_extracts"])
 register("scan_dedup_header",
          lambda spark, sf: (lambda d: d.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_").replace(".", "_")) for c in d.columns]))(
@@ -196,3 +195,54 @@ def _scan_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("scan_pair", _scan_pair, with_sql(target_ctes("MARC"), " UNION ALL ".join(
     f"SELECT * FROM ({q}) q{i}" for i, q in enumerate(
         [coverage_sql("MARC"), mandatory_sql("MARC"), type_sql("MARC"), direct_count_sql("raw_marc")]))))
+
+
+# --- the latest files, validated ------------------------------------------------ #
+def _write_latest(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Combined source and target files of both sheets, with an older one beside them, and the reference tables."""
+    _write_references(spark, sf_dir, folder)
+    raw = raw_extracts(spark, sf_dir)
+    for sheet in ("MARC", "MBEW"):
+        _csv(raw[sheet].limit(3).drop("_row_id"), f"{folder}/{sheet}/ECC/{sheet}_ECC_combined_old.csv")
+        _csv(raw[sheet].drop("_row_id"), f"{folder}/{sheet}/ECC/{sheet}_ECC_combined.csv")
+        _csv(actual_table(spark, sf_dir, sheet), f"{folder}/{sheet}/S4/{sheet}_S4_combined.csv")
+
+
+def _latest(sheet: str, result):
+    return lambda spark, sf: result(validate_latest(spark, written(spark, sf, "latest", _write_latest), sheet))
+
+
+for _sheet in ("MARC", "MBEW"):
+    register(f"validate_latest_{_sheet.lower()}", _latest(_sheet, lambda staged: flat(staged.rules())), report_sql(_sheet))
+register("validate_latest_by_plant", _latest("MARC", lambda staged: by_plant_rows(staged.by_plant())), by_plant_sql("MARC"))
+
+
+# --- tables under many headers, numbers of rows --------------------------------- #
+_HEADERS = [
+    CELLS,
+    [{v: k for k, v in MARC_LABELS.items()}.get(c, c) for c in CELLS],
+    [c.lower() for c in CELLS],
+    ["UNUSED", *reversed(CELLS)],
+]
+
+
+def _write_headers(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Plant data dealt to extracts under technical names, labels, lower case, and another order with a further column."""
+    rows = raw_extracts(spark, sf_dir)["MARC"].withColumn("UNUSED", F.lit("x"))
+    for k, names in enumerate(_HEADERS):
+        order = CELLS if k < 3 else _HEADERS[3]
+        _csv(rows.filter(F.pmod(F.xxhash64("_row_id"), F.lit(len(_HEADERS))) == k).select(*order).toDF(*names), f"{folder}/extract{k}.csv")
+
+
+def _extracts(spark: SparkSession, sf_dir: str) -> list[str]:
+    folder = written(spark, sf_dir, "headers", _write_headers)
+    return [f"{folder}/extract{k}.csv" for k in range(len(_HEADERS))]
+
+
+register("union_normalized", lambda spark, sf: scan.union_normalized(spark, _extracts(spark, sf), "MARC").select(*CELLS),
+         source_sql(f"SELECT {', '.join(CELLS)} FROM marc"))
+register("ingest_numbers",
+         lambda spark, sf: scan.union_extracts(spark, _extracts(spark, sf), row_id=True).agg(
+             F.count(F.lit(1)).alias("n"), F.min("_row_id").alias("first"), F.max("_row_id").alias("last"),
+             F.count_distinct("_row_id").alias("numbers")),
+         source_sql("SELECT count(*) AS n, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) AS numbers FROM raw_marc"))

@@ -325,17 +325,16 @@ register("rules_passed",
          _balance_sql("MARC", f"SELECT count(*) FILTER (WHERE status = 'pass') AS passed, count(*) AS total FROM ({_ALL_RULES}) r"))
 
 
-def _by_plant(sheet: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = v.validate_by_plant(sheet, *sides(spark, sf_dir, sheet))
-        ids = ["field_coverage", "mandatory_completeness", "type_length_conformance", "record_count"]
-        return out.select("plant", "expected_rows", "actual_rows", "overall_status",
-                          *[F.col("rules")[i].alias(i) for i in ids])
+def by_plant_rows(overview: DataFrame) -> DataFrame:
+    ids = ["field_coverage", "mandatory_completeness", "type_length_conformance", "record_count"]
+    return overview.select("plant", "expected_rows", "actual_rows", "overall_status", *[F.col("rules")[i].alias(i) for i in ids])
 
-    return query
+
+def _by_plant(sheet: str):
+    return lambda spark, sf_dir: by_plant_rows(v.validate_by_plant(sheet, *sides(spark, sf_dir, sheet)))
 
 
-def _by_plant_sql(sheet: str) -> str:
+def by_plant_sql(sheet: str) -> str:
     bad = [f"count(*) FILTER (WHERE {cond}) > 0" for cond in (
         [f"length(trim({c})) > {n}" for _, c, n in _LENGTHS[sheet]]
         + [(_NOT_NUMBER if kind == "Number" else _NOT_DATE).format(c=c) for _, c, kind in _TYPES[sheet]])]
@@ -353,8 +352,8 @@ def _by_plant_sql(sheet: str) -> str:
            AS overall_status FROM s""")
 
 
-register("validate_by_plant", _by_plant("MARC"), _by_plant_sql("MARC"))
-register("validate_by_plant_mbew", _by_plant("MBEW"), _by_plant_sql("MBEW"))
+register("validate_by_plant", _by_plant("MARC"), by_plant_sql("MARC"))
+register("validate_by_plant_mbew", _by_plant("MBEW"), by_plant_sql("MBEW"))
 
 
 # --------------------------------------------------------------------------- #
