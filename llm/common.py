@@ -51,6 +51,14 @@ def with_row(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df bears it; cases of letters do not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of a slice holds about most_bytes, or one row."""
     for batch in batches:

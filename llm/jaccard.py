@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm import common
@@ -512,16 +512,11 @@ def keep_first(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     Of rows that repeat as a whole one stays; rows without words are in no group and stay.
     """
     found = jaccard_components(docs, k, percent)
-    stays = common.staged(found.where("n_shingles = 0 or key = first_key").select(F.col("key").alias("__key"), F.col("n_shingles").alias("__n")).dropDuplicates(["__key"]), "stays")
-    kept = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("text"))).join(stays, "__key")
-    first = F.row_number().over(_same_row())
-    return kept.withColumn("__copy", first).where("__n = 0 or __copy = 1").drop("__key", "__n", "__copy")
-
-
-def _same_row():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__key").orderBy("doc_id")
+    key, n, copy = (common.unused(docs, name) for name in ("__key", "__n", "__copy"))
+    stays = common.staged(found.where("n_shingles = 0 or key = first_key").select(F.col("key").alias(key), F.col("n_shingles").alias(n)).dropDuplicates([key]), "stays")
+    kept = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text"))).join(stays, key)
+    kept = kept.withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy("doc_id")))
+    return kept.where((F.col(n) == 0) | (F.col(copy) == 1)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:

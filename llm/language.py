@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from llm import common
+
 #: Labelled rows of each language that the trees are counted on, those with the smallest hash of their doc_id.
 SAMPLE_DOCS = 300
 ORDER = 3
@@ -191,9 +193,10 @@ def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
     Rejected are texts that are null, have no letter, or cost 8 bits a byte or more under every language's
     tree, which is what bytes cost without any tree.  A null lang gets the predicted language.
     """
-    found = docs.withColumn("__identified", identify(docs.sparkSession, train(docs, sample_docs), F.col("text")))
-    kept = found.where((F.col("__identified.lang_pred") != UNDETERMINED) & (F.col("__identified.bits_per_byte") < 8))
-    return kept.withColumn("lang", F.coalesce("lang", "__identified.lang_pred")).drop("__identified")
+    name = common.unused(docs, "__identified")
+    found = docs.withColumn(name, identify(docs.sparkSession, train(docs, sample_docs), F.col("text")))
+    kept = found.where((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.bits_per_byte") < 8))
+    return kept.withColumn("lang", F.coalesce("lang", f"{name}.lang_pred")).drop(name)
 
 
 def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
