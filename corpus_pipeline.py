@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import common, jaccard, language, packing, secrets
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
 
@@ -31,8 +30,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into windows: one row per piece, as the packing query returns them."""
+    import public_tokenizers
+
     common.tuned(spark)
-    return packing.piece_digests(packing.pack(docs, TOKENIZER, END_ID))
+    return packing.piece_digests(packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID))
 
 
 STAGES = [
