@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siteshift.mapping import DEFAULT_MAPPING, SheetMapping, field
 from siteshift.operators import reconcile as r
 from siteshift.plans import validate as v
+from siteshift.plans.balances import BalanceState, balance_state
+from siteshift.plans.latest import written
+from siteshift.session import new_folder
 from workload.expected_sql import target_ctes
 from workload.extracts import actual_table, expected_table, raw_extracts, with_sql
 
@@ -400,3 +403,29 @@ register("validate_by_plant_unkeyed",
            FROM (SELECT {_PLANT['MARC']} AS plant, count(*) AS n FROM expected GROUP BY 1) e
            FULL JOIN (SELECT {_PLANT['MARC']} AS plant, count(*) AS n FROM actual GROUP BY 1) a ON e.plant = a.plant
            WHERE coalesce(e.plant, a.plant) <> ''"""))
+
+
+# --------------------------------------------------------------------------- #
+# Key balances merged extract by extract
+# --------------------------------------------------------------------------- #
+_EXTRACTS = 3
+
+
+def _merged_state(spark: SparkSession, sf_dir: str, sheet: str) -> BalanceState:
+    """Both sides dealt over extracts by the content of their rows, so that keys lie in several; one is merged twice."""
+    dealt = [written(df.withColumn("_extract", F.pmod(F.xxhash64(*df.columns), F.lit(_EXTRACTS))), f"dealt-{sheet}")[0]
+             for df in sides(spark, sf_dir, sheet)]
+    state = balance_state(spark, new_folder(spark, f"balance-{sheet}"), sheet)
+    for i in [*range(_EXTRACTS), 1]:
+        state.merge(f"extract-{i}", *[df.filter(F.col("_extract") == i).drop("_extract") for df in dealt])
+    return state
+
+
+_BY_PLANT = f"SELECT plant, {_SUMS} FROM kk GROUP BY plant"
+register("count_breakdown_merged",
+         lambda spark, sf: _merged_state(spark, sf, "MARC").balance().select(*[c.alias(n) for n, c in r.breakdown_columns().items()]),
+         _balance_sql("MARC", _BREAKDOWN))
+register("rule_count_merged", lambda spark, sf: flat(_merged_state(spark, sf, "MARC").record_count()), _balance_sql("MARC", count_sql()))
+register("plant_balance_compacted",
+         lambda spark, sf: _merged_state(spark, sf, "MBEW").compacted(new_folder(spark, "compacted")).balance(by_plant=True),
+         _balance_sql("MBEW", _BY_PLANT))
