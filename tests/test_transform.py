@@ -2,8 +2,11 @@
 
 import itertools
 
-from siteshift.layouts import MARC_TARGET, MBEW_TARGET, REQUIRED
+from pyspark.sql import functions as F
+
+from siteshift.layouts import MARC_TARGET, MBEW_TARGET, READ, REQUIRED, ROUTES
 from siteshift.plans.transform import build_expected, transform_table
+from siteshift.session import tune
 
 
 def table(spark, name, rows):
@@ -100,3 +103,44 @@ def test_plan_has_no_python_and_no_cross_join(spark):
     plan = final_plan(transform_table("MARC", tables))
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert "HashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_distinct_takes_the_partitions_of_the_join(spark):
+    _, tables = small_tables(spark)
+    plan = final_plan(transform_table("MARC", tables))
+    assert "hashpartitioning(PRODUCT" not in plan and plan.count("hashpartitioning(_key") > 0
+
+
+def test_fields_the_extract_lacks_are_null(spark):
+    _, tables = small_tables(spark)
+    lean = {**tables, "MARC": tables["MARC"].select(*READ["MARC"], "_row_id")}
+    assert sorted(map(str, transform_table("MARC", lean).collect())) == sorted(map(str, transform_table("MARC", tables).collect()))
+
+
+def test_a_target_plant_has_one_source_plant():
+    """What lets equal target rows meet in the partition of their source key."""
+    targets = [t for r in ROUTES for t in (r.external, r.inhouse) if t]
+    assert len(targets) == len(set(targets))
+
+
+def test_a_hot_key_is_split(spark):
+    """Its join partition goes to several tasks, with an exchange by whole rows before the distinct."""
+    _, tables = small_tables(spark)
+    hot = tables["MARC"].filter("MATNR = '1' AND WERKS = '1025'").limit(1)
+    copies = hot.crossJoin(spark.range(40000).repartition(8)).withColumn("LGPRO", F.sha1(F.col("id").cast("string"))).select(*hot.columns)
+    cold = hot.crossJoin(spark.range(500)).withColumn("MATNR", F.concat(F.lit("M"), F.col("id"))).select(*hot.columns)
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200000",
+             "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    tune(spark)
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        found = transform_table("MARC", {**tables, "MARC": copies.unionByName(cold)})
+        final = final_plan(found)
+        rows = found.select("PRODUCT", "LGPRO").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len({r["LGPRO"] for r in rows if r["PRODUCT"] == "1"}) == 40000
+    assert "skew=true" in final
