@@ -5,7 +5,8 @@ import itertools
 from pyspark.sql import functions as F
 
 from siteshift.layouts import MARC_TARGET, MBEW_TARGET, READ, REQUIRED, ROUTES
-from siteshift.plans.transform import build_expected, transform_table
+from siteshift.operators.explain import pair_with_source
+from siteshift.plans.transform import build_expected, keyed_targets, transform_table
 from siteshift.session import tune
 
 
@@ -144,3 +145,14 @@ def test_a_hot_key_is_split(spark):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     assert len({r["LGPRO"] for r in rows if r["PRODUCT"] == "1"}) == 40000
     assert "skew=true" in final
+
+
+def test_pairs_lie_where_the_transformation_left_them(spark):
+    """Rows with their source keys are not shuffled again, and pair as rows without them do."""
+    _, tables = small_tables(spark)
+    keyed = pair_with_source(keyed_targets("MARC", tables), tables["MARC"])
+    bare = pair_with_source(transform_table("MARC", tables), tables["MARC"])
+    plan = keyed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(s_MATNR" not in plan and "hashpartitioning(PRODUCT" not in plan
+    assert sorted(map(str, keyed.collect())) == sorted(map(str, bare.collect()))
+    assert keyed.count() > 0 and keyed.filter("t_PRODUCT IS NULL").count() == 0
