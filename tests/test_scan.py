@@ -122,3 +122,16 @@ def test_stored_extracts_are_numbered_in_file_order(spark, tmp_path):
     assert [r["_row_id"] for r in got] == list(range(1002)) and [r["A"] for r in got[:2]] == ["q", "r"]
     stored = pq.ParquetDataset(path).files
     assert [r["A"] for r in got[2:]] == [a for f in sorted(stored) for a in pq.read_table(f, partitioning=None).column("A").to_pylist()]
+
+
+def test_valuation_rows_of_the_landing_set_are_worked_out_once(spark, tmp_path, monkeypatch):
+    from workload import landing
+
+    plans = {}
+    write = landing._csv
+    monkeypatch.setattr(landing, "_csv", lambda df, path: (plans.update({path: df._jdf.queryExecution().optimizedPlan().toString()}), write(df, path)))
+    landing._write_families(spark, "/root/testdata/sf0.001", str(tmp_path))
+    worked_out = [p for p, plan in plans.items() if "Aggregate" in plan]
+    assert worked_out == [f"{tmp_path}/S_MBEW#FreeText.csv"]
+    same = [spark.read.csv(f"{tmp_path}/{name}#FreeText.csv", header=True).select("MATNR").collect() for name in ("S_MBEW", "X_S_MARC")]
+    assert sorted(same[0]) == sorted(same[1]) and same[0]
