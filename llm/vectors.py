@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm import common
 
 COSINE = 0.9
-#: Vectors that pivots are chosen among, vectors of a cell aimed at, most pivots, vectors of a block.
-PIVOT_SAMPLE, CELL, MOST_PIVOTS, BLOCK = 4096, 1024, 256, 2048
+#: Vectors that pivots are chosen among, vectors of a cell aimed at, most pivots, vectors of a block, pairs compared at once.
+#: Where angles tell cells apart badly, a vector is copied to half of the cells: large cells keep the copies few.
+PIVOT_SAMPLE, CELL, MOST_PIVOTS, BLOCK, PAIRS = 4096, 16384, 256, 32768, 1 << 22
 MARGIN = 1e-6
 
 
@@ -64,34 +66,39 @@ def links_of_block(left: dict, right: dict | None, cosine: float) -> tuple[np.nd
     left and right have cls, times and unit vectors; without right the block is joined with itself.
     """
     a, b = left["unit"], (right or left)["unit"]
-    near = np.argwhere(a.astype(np.float32) @ b.astype(np.float32).T >= cosine - 1e-4)
-    i, j = near[:, 0], near[:, 1]
-    if right is None:
-        i, j = i[i < j], j[i < j]
-    exact = np.concatenate([np.einsum("ij,ij->i", a[i[k : k + 65536]], b[j[k : k + 65536]]) >= cosine for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-    i, j = i[exact], j[exact]
     cls = left["cls"] if right is None else np.concatenate([left["cls"], right["cls"]])
     times = left["times"] if right is None else np.concatenate([left["times"], right["times"]])
-    j = j + (0 if right is None else len(left["cls"]))
-    linked = np.bincount(i, times[j], len(cls)) + np.bincount(j, times[i], len(cls))
-    piece = np.arange(len(cls))
+    shift = 0 if right is None else len(left["cls"])
+    rough_a, rough_b = a.astype(np.float32), b.astype(np.float32)
     order = np.argsort(cls, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = piece
-    label = rank.copy()
-    while True:  # the least rank spreads along links and shortcuts
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, order[label[i]], low)
-        np.minimum.at(new, order[label[j]], low)
-        new = new[order[new]]
-        if (new == label).all():
-            break
-        label = new
+    label = np.empty_like(order)
+    label[order] = np.arange(len(cls))
+    linked = np.zeros(len(cls), np.int64)
+    step = max(1, PAIRS // len(b))
+    for k in range(0, len(a), step):  # a strip of rows at a time, so that near copies never lie here as pairs of the whole block
+        low = k if right is None else 0
+        i, j = np.nonzero(rough_a[k : k + step] @ rough_b[low:].T >= cosine - 1e-4)
+        i, j = i + k, j + low
+        if right is None:
+            i, j = i[i < j], j[i < j]
+        exact = np.concatenate([np.einsum("ij,ij->i", a[i[m : m + 65536]], b[j[m : m + 65536]]) >= cosine for m in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+        i, j = i[exact], j[exact] + shift
+        if not len(i):
+            continue
+        linked += (np.bincount(i, times[j], len(cls)) + np.bincount(j, times[i], len(cls))).astype(np.int64)
+        while True:  # the least rank spreads along links and shortcuts; what earlier strips joined shares a root
+            least = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, i, least)
+            np.minimum.at(new, j, least)
+            np.minimum.at(new, order[label[i]], least)
+            np.minimum.at(new, order[label[j]], least)
+            new = new[order[new]]
+            if (new == label).all():
+                break
+            label = new
     some = linked > 0
-    return cls[some], linked[some].astype(np.int64), cls[order[label[some]]]
+    return cls[some], linked[some], cls[order[label[some]]]
 
 
 def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -99,8 +106,10 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     theta = float(np.arccos(cosine)) + MARGIN
     e = F.col("embedding")
+    # single precision stays as it is until it is compared: half of the bytes to copy
+    element = "float" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "double"
     odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(e, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.when(~odd, e.cast("array<double>")).alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.when(~odd, e.cast(f"array<{element}>")).alias("embedding"))
     rows = common.staged(rows.withColumn("embedding", F.when(F.size("embedding") > 0, F.col("embedding"))), "vectors")
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
     classes = common.staged(common.with_row(classes, "cls"), "classes")
@@ -109,7 +118,7 @@ def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sample = classes.select("embedding").orderBy(F.xxhash64("embedding")).limit(PIVOT_SAMPLE).toArrow().combine_chunks().column("embedding")
     points = unit(_matrix(sample.combine_chunks() if isinstance(sample, pa.ChunkedArray) else sample, width)) if len(sample) else np.eye(1, width)
     pivots = choose_pivots(points, int(np.clip(known["n"] // CELL, 1, MOST_PIVOTS)))
-    schema = "cls long, times long, embedding array<double>, home long, angle double, cells array<struct<cell:long,angle:double>>"
+    schema = f"cls long, times long, embedding array<{element}>, home long, angle double, cells array<struct<cell:long,angle:double>>"
 
     def deal(batches):
         for batch in batches:
