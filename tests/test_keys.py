@@ -7,6 +7,7 @@ from siteshift.mapping import DEFAULT_MAPPING
 from siteshift.operators import explain
 from siteshift.operators import reconcile as r
 from siteshift.plans.transform import expected_plants, transform_table
+from siteshift.session import tune
 from siteshift.sources import records
 from tests.test_transform import small_tables
 from workload import reconciliation
@@ -79,3 +80,16 @@ def test_ranges_of_a_file_are_one_job(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert layout.rows == 5000 and len(layout.base) > 1 and len(jobs) == 1
+
+
+def test_wide_rows_get_smaller_tasks_and_documents_do_not(spark):
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    try:
+        tune(spark, wide_rows=False)
+        default = [spark.conf.get(n) for n in names]
+        contract.queries()["transform_marc"](spark, SF)
+        assert [spark.conf.get(n) for n in names] == ["16m", "16m"] != default
+        tune(spark, wide_rows=False)
+        assert [spark.conf.get(n) for n in names] == default
+    finally:
+        tune(spark)
