@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import common
-from llm.tokens import WordTokenizer
+from llm.tokens import worker_tokenizer
 
 WINDOW = 2048
 POOL_TOKENS = 4 << 20
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, poo
     """Sequences of at most `window` ids: sequence_id, ids (little-endian unsigned 32 bits), pieces in order."""
 
     def run(batches):
-        encoder, part, made = WordTokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, made = worker_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
 
         def rows(sequences):
             nonlocal made
@@ -89,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, poo
                     yield [pool[x].pop() for x in sorted(chosen, reverse=True) for _ in range(chosen[x])]
 
         pool, held = defaultdict(list), 0
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 5 << 20):
             ids, offsets = encoder.encode(batch.column("text"), end_id)
             whole = []
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm import common
-from llm.tokens import WordTokenizer
+from llm.tokens import worker_tokenizer
 
 MAGIC = b"RVB1"
 _HEAD = struct.Struct("<4sQQI")
@@ -64,11 +64,12 @@ def unpack_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 
 def file_bytes(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    distinct, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -count))
+    coded = pa.array(ids, pa.uint32()).dictionary_encode()  # hashed, not sorted
+    distinct, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.lexsort((distinct, -np.bincount(codes, minlength=len(distinct))))
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    control, data = pack_ranks(rank[inverse] if len(ids) else np.zeros(0, np.uint32))
+    control, data = pack_ranks(rank[codes])
     known = np.array([x is not None for x in doc_ids], np.uint8)
     return b"".join([
         _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(distinct)), distinct[order].astype("<u4").tobytes(),
@@ -103,7 +104,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_
     """
 
     def write(batches):
-        encoder, part, number = WordTokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = worker_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, sizes, ids = [], [], []
 
         def flush():
@@ -116,7 +117,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_
                 held.clear()
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 5 << 20):
             found, offsets = encoder.encode(batch.column("text"), end_id)
             doc_ids += batch.column("doc_id").to_pylist()
             sizes.append(np.diff(offsets))

@@ -6,20 +6,22 @@ inside a word and is left to the tokenizer itself.  A letter or digit before ASC
 a token boundary, so a space put there changes no id and makes words repeat more; letters that end in a
 combining mark when they are composed and lower-cased are none and stay as they are.
 Words are made distinct per batch with Arrow's dictionary encoding and their ids are kept in a bounded
-cache, so the tokenizer sees each word rarely.  Words of Latin letters are one pre-token each and go
-straight to the tokenizer's model; all others take its whole path.
+Arrow table, so the tokenizer sees each word rarely; a worker keeps its tokenizer and table from task to
+task.  Words of Latin letters are one pre-token each and go straight to the tokenizer's model; all others
+take its whole path.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+CACHE_BYTES = 32 << 20
 
 #: Letters whose NFC form or lower case ends in a mark: U+0130 and those that composition leaves apart.
 _MARKED = "\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb4e"
@@ -27,12 +29,13 @@ _MARKED = "\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\
 _PLAIN_BOUNDARY = rf"(\pN|[^\PL{_MARKED}])([!-/:-@\[-`{{-~]+)"
 
 #: Letters whose composed form is their only one and whose lower case is one letter.
-_LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+")
+_LATIN_WORD = "^[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+$"
 #: The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others follow from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))
 }
+_LATIN_BYTES = {c: "".join(_BYTE_LETTERS[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
 
 class WordTokenizer:
@@ -46,31 +49,48 @@ class WordTokenizer:
         self._tokenizer.no_padding()
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._model = self._tokenizer.model
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._words = pa.array([], pa.large_string())
+        self._ids = pa.array([], pa.large_binary())
+        self._used = np.zeros(0, np.int64)  # the call that used a word last
+        self._calls = 0
         self._limit = cache_words
 
-    def _word(self, word: str) -> bytes:
-        if _LATIN_WORD.fullmatch(word):
-            word = word.lower()
-            if not word.isascii():
-                word = "".join(_BYTE_LETTERS[b] for b in word.encode())
-            return array("I", [token.id for token in self._model.tokenize(word)]).tobytes()
-        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        found = []
-        for word in words:
-            ids = self._young.get(word)
-            if ids is None:
-                ids = self._old.get(word)
-                if ids is None:
-                    ids = self._word(word)
-                if len(self._young) >= self._limit:
-                    self._old, self._young = self._young, {}
-                self._young[word] = ids
-            found.append(ids)
-        return found
+    def _tokenize(self, words: pa.Array) -> pa.Array:
+        latin = pc.match_substring_regex(words, _LATIN_WORD)
+        words = pc.if_else(latin, pc.utf8_lower(words), words)
+        tokenize, whole, ids, ends = self._model.tokenize, self._tokenizer.encode, array("I"), [0]
+        for word, plain in zip(words.to_numpy(zero_copy_only=False), latin.to_numpy(zero_copy_only=False)):
+            if plain:
+                ids.extend([token.id for token in tokenize(word if word.isascii() else word.translate(_LATIN_BYTES))])
+            else:
+                ids.extend(whole(word, add_special_tokens=False).ids)
+            ends.append(len(ids))
+        return _binary(np.array(ids, np.uint32), np.array(ends, np.int64))
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Places of the distinct words in the table; words that it does not hold are added to it."""
+        # the smaller side is hashed: the table's words are looked up among the batch's
+        found = pc.index_in(self._words, value_set=words).fill_null(-1).to_numpy()
+        known = np.flatnonzero(found >= 0)
+        rows = np.full(len(words), -1, np.int64)
+        rows[found[known]] = known
+        unknown = rows < 0
+        new = words.filter(pa.array(unknown))
+        if len(new):
+            rows[unknown] = np.arange(len(self._words), len(self._words) + len(new))
+            self._ids = pa.concat_arrays([self._ids, self._tokenize(new)])
+            self._words = pa.concat_arrays([self._words, new])
+            self._used = np.concatenate([self._used, np.zeros(len(new), np.int64)])
+        self._calls += 1
+        self._used[rows] = self._calls
+        return rows
+
+    def _forget(self) -> None:
+        """Halves a table beyond its limits; the words used last stay."""
+        while len(self._words) > self._limit or self._words.nbytes + self._ids.nbytes > CACHE_BYTES:
+            kept = np.zeros(len(self._words), bool)
+            kept[np.argsort(-self._used, kind="stable")[: min(self._limit, len(self._words)) // 2]] = True
+            self._words, self._ids, self._used = self._words.filter(pa.array(kept)), self._ids.filter(pa.array(kept)), self._used[kept]
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's first position (one more at the end).
@@ -82,15 +102,24 @@ class WordTokenizer:
         words = pc.ascii_split_whitespace(texts)
         text_words = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = self._ids_of(coded.dictionary.to_pylist())
+        codes = self._rows(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        table = self._ids
         if end_id is not None:  # one more word, at the end of each text
-            codes = np.insert(codes, text_words[1:], len(distinct))
+            codes = np.insert(codes, text_words[1:], len(table))
             text_words = text_words + np.arange(len(text_words))
-            distinct.append(array("I", [end_id]).tobytes())
-        size = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
-        running = np.concatenate([[0], np.cumsum(size[codes])])
-        if not running[-1]:
-            return np.zeros(0, np.uint32), running[text_words]
-        laid = pa.array(distinct, pa.large_binary()).take(pa.array(codes))
-        return np.frombuffer(laid.buffers()[2], np.uint32, running[-1]), running[text_words]
+            table = pa.concat_arrays([table, _binary(np.array([end_id], np.uint32), np.array([0, 1]))])
+        self._forget()
+        laid = table.take(pa.array(codes))
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1) // 4
+        ids = np.frombuffer(laid.buffers()[2], np.uint32, ends[-1]) if ends[-1] else np.zeros(0, np.uint32)
+        return ids, ends[text_words]
+
+
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * 4), pa.py_buffer(ids)])
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker, which it keeps for its later tasks."""
+    return WordTokenizer(path)

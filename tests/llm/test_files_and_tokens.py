@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm import byte_bpe, common, packing, resharding, syncmers, token_files, vectors, warc
-from llm.tokens import WordTokenizer
+from llm import byte_bpe, common, packing, resharding, syncmers, token_files, tokens, vectors, warc
+from llm.tokens import WordTokenizer, worker_tokenizer
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,6 +52,43 @@ def test_word_tokenizer_equals_the_library(word_ids):
             assert ids[a:b].tolist() == word_ids(text) + ([] if end is None else [end])
 
 
+def test_a_worker_tokenizes_a_word_once_over_its_tasks(word_ids, monkeypatch):
+    texts = [*TEXTS, "Été ÉTÉ été ÿ Þing straße WORD Word word x1 1x ½"]
+    worker_tokenizer(WORD).encode(pa.array(texts), 2)
+    monkeypatch.setattr(worker_tokenizer(WORD), "_tokenize", lambda words: pytest.fail(f"again: {words}"))
+    ids, at = worker_tokenizer(WORD).encode(pa.array(texts[::-1]), 2)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [word_ids(t) + [2] for t in texts[::-1]]
+
+
+def test_the_table_of_words_is_bounded_and_keeps_the_words_used_last(word_ids, monkeypatch):
+    encoder, tokenized = WordTokenizer(WORD, cache_words=40), []
+    inner = encoder._tokenize
+    encoder._tokenize = lambda words: tokenized.extend(words.to_pylist()) or inner(words)
+    for k in range(60):
+        texts = [f"always here n{k} " + " ".join(f"word{'abcdefghij'[k % 10]}{'xyz'[i % 3] * (k % 7 + i)}" for i in range(9)), None, "always"]
+        ids, at = encoder.encode(pa.array(texts), None)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [word_ids(t) for t in texts]
+        assert len(encoder._words) == len(encoder._ids) == len(encoder._used) <= 40
+    assert tokenized.count("always") == tokenized.count("here") == 1
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 10_000)
+    for text in ("long" * 5000, "a b", "x" * 20_000 + " y"):
+        ids, at = encoder.encode(pa.array([text]), None)
+        assert ids.tolist() == word_ids(text) and encoder._words.nbytes <= 10_000
+    for nothing in ([], [None], ["", " "]):
+        ids, at = encoder.encode(pa.array(nothing, pa.string()), None)
+        assert len(ids) == 0 and at.tolist() == [0] * (len(nothing) + 1)
+        ids, at = encoder.encode(pa.array(nothing, pa.string()), 2)
+        assert ids.tolist() == [2] * len(nothing) and at.tolist() == list(range(len(nothing) + 1))
+
+
+def test_files_rank_any_ids_by_frequency_then_value():
+    ids = np.array([2**32 - 1, 7, 7, 0, 2**32 - 1, 9, 7], np.uint32)
+    blob = token_files.file_bytes([5, None], np.array([3, 4]), ids)
+    assert np.frombuffer(blob, "<u4", 4, token_files._HEAD.size).tolist() == [7, 2**32 - 1, 0, 9]
+    doc_ids, sizes, got = token_files.read_bytes(blob)
+    assert doc_ids == [5, None] and sizes.tolist() == [3, 4] and (got == ids).all()
+
+
 def test_letters_that_end_in_a_mark_before_punctuation(word_ids):
     letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] == "L"]
     marked = [c for c in letters if unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] != "L"]
