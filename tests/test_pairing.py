@@ -44,3 +44,10 @@ def test_records_read_one_wide_exchange(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert final.count("explode([0])") == 1 and "ReusedExchange" in final
+
+
+def test_constant_fields_are_not_joined(spark):
+    tables = odd_tables(spark, lambda n: n.cast("long"))
+    plan = paired_targets(tables)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "CG01" in above and "CG01" not in below

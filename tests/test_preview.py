@@ -100,3 +100,11 @@ def test_report_reads_the_records_once(spark, monkeypatch):
     unmapped = spark.createDataFrame([], "MATNR string, ecc_plant string, reason string")
     report = explain.preview_report(df, unmapped, spark.range(0), GAPS)
     assert report._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
+def test_entries_are_not_made_within_a_generator(spark, monkeypatch):
+    only(monkeypatch)
+    _, df = paired(spark)
+    plan = explain.preview_changes(df, GAPS)._jdf.queryExecution().optimizedPlan().toString()
+    generator = next(line for line in plan.split("\n") if "Generate explode" in line)
+    assert "coalesce(" not in generator and "_entries" in generator

@@ -50,3 +50,28 @@ def test_null_conditions_are_false(spark):
     assert values(spark, s.ne(F.col("a"), "x"), [None, "x", "y"]) == [False, False, True]
     assert values(spark, s.not_in(F.col("a"), ["x"]), [None, "x", "y"]) == [False, False, True]
     assert values(spark, s.case([(F.col("a") == "x", "hit")], None), [None, "x", "y"]) == [None, "hit", None]
+
+
+def test_only_cells_with_blank_or_foreign_ends_are_searched(spark):
+    """Trimming by a list of characters stands behind a test of the ends; results are those of the trimming alone."""
+    ends = ["", *s.WHITESPACE, "\x7f", "é", "\u200b", "!", "~", "0", "\u2003x"]
+    cells = [a + b + c for a in ends for b in ("", "x", "a b", "é", "\u3000") for c in ends] + [None]
+    df = spark.createDataFrame([(x,) for x in cells], "c string")
+    plain = F.btrim(F.col("c"), F.lit(s.WHITESPACE))
+    spaces = df.withColumn("_spaces", F.lit(s.WHITESPACE))
+    got = spaces.select(s.strip(F.col("c")).eqNullSafe(plain).alias("a"), s.blank_to_null(F.col("c")).eqNullSafe(F.nullif(plain, F.lit(""))).alias("b"),
+                        F.expr(s.blank_to_null_sql("c", "_spaces")).eqNullSafe(F.nullif(plain, F.lit(""))).alias("c"))
+    assert got.filter("NOT (a AND b AND c)").count() == 0
+    optimized = df.select(s.strip(F.col("c")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.index("CASE WHEN") < optimized.index("trim(")
+
+
+def test_short_decimals_are_not_formatted(spark):
+    texts = ["0", "-0.0", "27.5", "0.125", "0.000001", "0.0000005", "0.001", "-0.0015", "9999999.5", "10000000", "12345678.25", "1e20", "0.1234567",
+             "40.25", "1e-7", "100", "0.0009", "1234567.123456", "1234567.1234565", "nan", "inf"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").try_cast("double").alias("x"))
+    finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))
+    formatted = F.when(finite, F.rtrim(F.rtrim(F.format_string("%.6f", "x"), F.lit("0")), F.lit(".")))
+    assert df.filter(~s.fmt_num(F.col("x")).eqNullSafe(formatted)).count() == 0
+    optimized = df.select(s.fmt_num(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.index("substring_index") < optimized.index("format_string")

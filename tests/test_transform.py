@@ -156,3 +156,14 @@ def test_pairs_lie_where_the_transformation_left_them(spark):
     assert "hashpartitioning(s_MATNR" not in plan and "hashpartitioning(PRODUCT" not in plan
     assert sorted(map(str, keyed.collect())) == sorted(map(str, bare.collect()))
     assert keyed.count() > 0 and keyed.filter("t_PRODUCT IS NULL").count() == 0
+
+
+def test_quantities_are_read_once(spark):
+    _, tables = small_tables(spark)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = transform_table("MARC", tables)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # one number pattern for each quantity, the ordering costs and the denominator
+    assert plan.count("infinity") == 7
