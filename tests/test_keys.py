@@ -93,3 +93,9 @@ def test_wide_rows_get_smaller_tasks_and_documents_do_not(spark):
         assert [spark.conf.get(n) for n in names] == default
     finally:
         tune(spark)
+
+
+@pytest.mark.parametrize("name", ["list_plants", "common_key_stats"])
+def test_plants_and_common_keys_read_no_field_of_the_rows(spark, name):
+    plan = optimized(contract.queries()[name](spark, SF))
+    assert "LGPRO" not in plan and "DISPO" not in plan
